@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from quillgate.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillgate.llm.mixing import OP7_SQL, op7_mixing
+from quillgate.llm.toxicity import op9_toxicity
 from quillgate.llm.url_filter import op6_url_filter
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES = {
