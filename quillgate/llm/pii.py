@@ -179,7 +179,7 @@ LABELLED = (
     "Der Einch und die Stege, von der achlich heit.", "Lesou eaux de la tion pour les ment. Ouré en vi.", "Bota ciónllmi es que la mente. Osdo el raez.", "token = \"9f86d081884c7d659a2feaa0c55ad015\" in the file .", "See page 14 or call the function at line 20 .",
     "On 12 May 2020 the price was 19.99 in total .", "Ering and Thon of the anding. Ther is and Onder was to", "Is ndble whst the by for and threea. Ores the oredat the.", "Read the manual , then press the button 3 times .", "| Ander | Thing | Onre | Sting | Ation |",
     "For&&& the*** was$$$ of%%% in### the&&&", "The number of cases was 312 and the number of days was 14 .", "Home About Contact Login Terms", "Accept all cookies to continue reading this page .", "Click here to subscribe . Share on social media .",
-    "id 7 and id 9 in the list are free .", "It is 40 km from the sea to the city .", "Anew Thest Endor Heation Stanis.", "Key 4465758382889437 in the ring ñtaciónta .", "He came by bus and was at home by nine .",
+    "id 7 and id 9 in the list are free .", "It is 40 km from the sea to the city .", "Anew Thest Endor Heation Stanis.", "Key 4465758382889437 in the ring ñtaciónta .", "Errest Errest Errest Errest that the thing", "The thon. Par. Onoi. Tier. The. Edor. Tior, ano the.", "Ing. Is. With. Onst. Thin. Edon. Ation the of", "Atre er the. Lyble. Anrent and to the", "He came by bus and was at home by nine .",
 )
 
 
