@@ -19,17 +19,21 @@ LG_K = 8
 MARGIN = 4 * 1.04 / 16
 
 
+def bare_line(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def line_key(line: Column) -> Column:
     """Two hashes of the trimmed line (128 bits in all); null for blank lines."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    bare = bare_line(line)
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare, F.lit(2)).alias("b")))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row per non-blank line: who (document row), site, k (line key), at, n (characters)."""
+    """A row per non-blank line: who (document row), site, k (line key), at."""
     who = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"))
     cut = docs.filter(F.col("text").isNotNull()).select(who.alias("who"), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return cut.select("who", "site", "at", line_key(F.col("line")).alias("k"), F.length("line").alias("n")).filter("k IS NOT NULL")
+    return cut.select("who", "site", "at", line_key(F.col("line")).alias("k")).filter("k IS NOT NULL")
 
 
 def boilerplate_lines(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
@@ -62,21 +66,23 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float =
     n_removed are replaced).
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    keys = scratch.put(boilerplate_lines(_lines(docs), scratch, min_sites), "keys")
-    found = _lines(docs).join(keys, "k", "left_semi")
+    lines = scratch.put(_lines(docs), "lines")
+    keys = scratch.put(boilerplate_lines(lines, scratch, min_sites), "keys")
+    found = lines.join(keys, "k", "left_semi")
     cuts = found.groupBy("who").agg(F.collect_set("at").alias("cut"))
-    cuts = scratch.put(cuts, "cuts").select(F.col("who.id").alias("__id"), F.col("who.t").alias("__t"), F.col("cut").alias("__cut"))
+    cuts = scratch.put(cuts, "cuts")
+    scratch.drop("lines", "often", "spread", "keys")
+    cuts = cuts.select(F.col("who.id").alias("__id"), F.col("who.t").alias("__t"), F.col("cut").alias("__cut"))
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     out = docs.withColumns({"__id": F.col("doc_id"), "__t": F.xxhash64("text")}).alias("d")
     out = out.join(cuts.alias("c"), F.col("d.__id").eqNullSafe(F.col("c.__id")) & (F.col("d.__t") == F.col("c.__t")), "left")
     out = out.select(*[F.col(f"d.`{c}`").alias(c) for c in rest], F.col("d.text").alias("text"), F.split("d.text", "\n").alias("__l"), F.col("__cut"))
-    blank = r"^[\x20\x09-\x0D]*$"
-    chars = F.aggregate("__l", F.lit(0).cast("long"), lambda a, x: a + F.when(x.rlike(blank), 0).otherwise(F.length(x)))
+    chars = F.aggregate("__l", F.lit(0).cast("long"), lambda a, x: a + F.when(bare_line(x) == "", 0).otherwise(F.length(x)))
     gone = F.aggregate("__cut", F.lit(0).cast("long"), lambda a, i: a + F.length(F.element_at("__l", i + 1)))
     drops = F.col("__cut").isNotNull() & (gone <= chars * max_share)
     out = out.withColumn("__drop", F.when(F.col("__cut").isNotNull(), drops).otherwise(False))
     text = F.when(F.col("__drop"), F.array_join(F.filter("__l", lambda x, i: ~F.array_contains("__cut", i)), "\n")).otherwise(F.col("text"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter("__l", lambda x: ~x.rlike(blank))))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter("__l", lambda x: bare_line(x) != "")))
     n_removed = F.when(F.col("__drop"), F.size("__cut")).otherwise(0)
     out = out.select(*[f"`{c}`" for c in rest], text.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
     order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
