@@ -5,10 +5,12 @@ from __future__ import annotations
 from quillgate.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillgate.llm.mixing import OP7_SQL, op7_mixing
 from quillgate.llm.pii import op5_pii
+from quillgate.llm.token_store import op3_token_store
 from quillgate.llm.toxicity import op9_toxicity
 from quillgate.llm.url_filter import op6_url_filter
 
 QUERIES = {
+    "op3_token_store": op3_token_store,
     "op4_line_dedup": op4_line_dedup,
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
