@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillgate.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillgate.llm.mixing import OP7_SQL, op7_mixing
+from quillgate.llm.packing import op8_packing
 from quillgate.llm.pii import op5_pii
 from quillgate.llm.token_store import op3_token_store
 from quillgate.llm.toxicity import op9_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
 }
 
