@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillgate.llm.line_dedup import OP4_SQL, op4_line_dedup
+from quillgate.llm.minhash import op2_minmax_near_dedup
 from quillgate.llm.mixing import OP7_SQL, op7_mixing
 from quillgate.llm.packing import op8_packing
 from quillgate.llm.pii import op5_pii
@@ -11,6 +12,7 @@ from quillgate.llm.toxicity import op9_toxicity
 from quillgate.llm.url_filter import op6_url_filter
 
 QUERIES = {
+    "op2_minmax_near_dedup": op2_minmax_near_dedup,
     "op3_token_store": op3_token_store,
     "op4_line_dedup": op4_line_dedup,
     "op5_pii": op5_pii,
