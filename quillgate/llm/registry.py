@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillgate.llm.hamming import OP1_SQL, op1_hamming_topk
 from quillgate.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillgate.llm.minhash import op2_minmax_near_dedup
 from quillgate.llm.mixing import OP7_SQL, op7_mixing
@@ -12,6 +13,7 @@ from quillgate.llm.toxicity import op9_toxicity
 from quillgate.llm.url_filter import op6_url_filter
 
 QUERIES = {
+    "op1_hamming_topk": op1_hamming_topk,
     "op2_minmax_near_dedup": op2_minmax_near_dedup,
     "op3_token_store": op3_token_store,
     "op4_line_dedup": op4_line_dedup,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_hamming_topk": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
     "op7_mixing": OP7_SQL,
 }
