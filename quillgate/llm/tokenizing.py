@@ -1,25 +1,40 @@
 """Token ids of texts by the tokenizers library, remembered per word.
 
-Byte-level BPE never joins across the start of a space that follows and
-precedes ordinary characters, so a text whose only white space is single
-spaces and line ends (not side by side) falls apart at its spaces. Each
-distinct word goes through the library once per worker; any other text goes
-to the library whole. Both ways give the library's ids for the text.
+Byte-level BPE works on pre-tokens, each by itself, and no pre-token reaches
+across a space that stands between two characters that are not white space.
+Texts whose only white space is single spaces and line ends (not side by side)
+are therefore cut at spaces; a word of familiar characters is cut into its
+pre-tokens, and the library's model encodes each distinct one once per worker.
+Any other word or text goes to the library whole. All ways give the library's
+ids for the text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Words remembered by a worker before it starts anew, and words encoded as one text.
-MEMO = 500_000
-JOINED = 2000
+#: Words and pre-tokens that a worker remembers before it starts anew.
+WORDS_KEPT, PIECES_KEPT = 900_000, 600_000
 ODD_SPACE = re.compile(r"[^\S \n]")
+ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
+#: Characters that are letters, digits or other signs in every Unicode version.
+FAMILIAR = re.compile(rf"[\n\x20-\x7E{LETTER}]*")
+#: The pre-token pattern of the vocabulary (a fixed value of its format), for familiar characters.
+PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The vocabulary's letter for each byte (a fixed rule of byte-level BPE): visible Latin-1 signs stand for themselves, the rest follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
 def default_path() -> str:
@@ -28,6 +43,44 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class _Pieces(dict):
+    """pre-token -> ids; the library's model encodes those not met before."""
+
+    def __init__(self, model) -> None:
+        self.tokenize, self.letters = model.tokenize, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES_KEPT:
+            self.clear()
+        if piece.isascii() and piece[1:].isalpha():
+            spelled = "Ġ" + piece[1:] if piece[0] == " " else piece
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+        value = self[piece] = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        return value
+
+
+class _Words(dict):
+    """word -> ids of a space and the word."""
+
+    def __init__(self, pieces: _Pieces, library) -> None:
+        self.piece, self.library = pieces.__getitem__, library
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        if word.isalpha() and max(word) <= "ſ":
+            value = self.piece(" " + word)
+        elif word[-1:] in (",", ".") and word[:-1].isalpha() and max(word) <= "ſ":
+            value = self[word[:-1]] + self.piece(word[-1])
+        elif FAMILIAR.fullmatch(word):
+            value = b"".join(map(self.piece, PIECES.findall(" " + word)))
+        else:
+            value = self.library([" " + word])[0]
+        self[word] = value
+        return value
+
+
 class Encoder:
     """ids as little-endian unsigned 32-bit bytes, for whole texts."""
 
@@ -37,55 +90,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        line = self._library(["\n"])[0]
-        self.line = int(np.frombuffer(line, dtype="<u4")[0]) if len(line) == 4 else None
+        self.words = _Words(_Pieces(self.tokenizer.model), self._library)
+        probe = "ab é1'll «x»,\nY"
+        self.splits = b"".join(map(self.words.piece, PIECES.findall(probe))) == self._library([probe])[0]  # else another kind of vocabulary
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _splits(self, text: str) -> bool:
-        return not ("  " in text or " \n" in text or "\n " in text or ODD_SPACE.search(text) or any(s in text for s in self.specials)) and self.line is not None
+    def _cut(self, text: str) -> bool:
+        if not self.splits or "  " in text or " \n" in text or "\n " in text or any(s in text for s in self.specials):
+            return False
+        return not any(c in text for c in ODD_ASCII) if text.isascii() else not ODD_SPACE.search(text)
 
     def encode(self, texts: list[str | None], end: int | None = END_ID) -> list[bytes]:
         """The ids of each text (null: empty), with ``end`` after them."""
         tail = b"" if end is None else end.to_bytes(4, "little")
-        out: list[bytes] = []
-        for at in range(0, len(texts), 1000):
-            out += self._block([t or "" for t in texts[at : at + 1000]], tail)
+        word, out = self.words.__getitem__, []
+        for text in texts:
+            text = text or ""
+            if self._cut(text):
+                first, *rest = text.split(" ")
+                head = b"".join(map(self.words.piece, PIECES.findall(first))) if FAMILIAR.fullmatch(first) else self._library([first])[0]
+                out.append(b"".join([head, *map(word, rest), tail]))
+            else:
+                out.append(self._library([text])[0] + tail)
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of a space and each word.
-
-        Words without line ends are encoded many to a text. A stop or comma after
-        a letter is a pre-token of its own, so such words share their stem's ids.
-        """
-        ended = [w for w in words if w[-1:] in (",", ".") and w[-2:-1].isalpha() and "\n" not in w]
-        stems = {w[:-1] for w in ended}
-        plain = [w for w in {*words, *stems}.difference(ended) if "\n" not in w and w not in self.memo]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, data in zip(groups, self._library([" " + "\n ".join(g) for g in groups]), strict=True):
-            cut = np.flatnonzero(np.frombuffer(data, dtype="<u4") == self.line) * 4
-            self.memo.update((w, data[i:j]) for w, i, j in zip(group, [0, *(cut + 4).tolist()], [*cut.tolist(), len(data)], strict=True))
-        get, mark = self.memo.__getitem__, dict(zip(",.", self._library([",", "."]), strict=True))
-        self.memo.update([(w, get(w[:-1]) + mark[w[-1]]) for w in ended])
-        rest = [w for w in words if "\n" in w]
-        self.memo.update(zip(rest, self._library([" " + w for w in rest]), strict=True))
-
-    def _block(self, texts: list[str], tail: bytes) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        pieces = [t.split(" ") if self._splits(t) else None for t in texts]
-        fresh: set[str] = set()
-        for p in pieces:
-            if p:
-                fresh.update(p[1:])
-        self._learn([w for w in fresh if w not in self.memo])
-        alone = [texts[i] if p is None else p[0] for i, p in enumerate(pieces)]
-        heads, get = self._library(alone), self.memo.__getitem__
-        return [heads[i] + tail if p is None else b"".join([heads[i], *map(get, p[1:]), tail]) for i, p in enumerate(pieces)]
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
