@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillgate.llm.hamming import OP1_SQL, op1_hamming_topk
+from quillgate.llm.hnsw import op10_hnsw_near_dedup
 from quillgate.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quillgate.llm.minhash import op2_minmax_near_dedup
 from quillgate.llm.mixing import OP7_SQL, op7_mixing
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_hnsw_near_dedup": op10_hnsw_near_dedup,
 }
 
 ORACLES = {
