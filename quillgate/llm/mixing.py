@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     rest = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     per = per.withColumn("total", F.sum("source_size").over(Window.partitionBy()))
     per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(full), F.lit(0))) / F.sum("weight").over(rest))
-    per = per.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(Window.partitionBy()))
+    per = per.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(Window.partitionBy()))
     target = F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))
     return per.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
@@ -127,7 +127,7 @@ w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) -
              (sum(source_size) OVER ())::BIGINT AS total FROM s),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
                 / (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM w),
-m AS (SELECT *, min(CASE WHEN level <= cap / weight THEN level END) OVER () AS lam FROM l),
+m AS (SELECT *, max(CASE WHEN level <= cap / weight THEN level END) OVER () AS lam FROM l),
 t AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, lam * weight), cap::DOUBLE) AS target FROM m),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS base FROM t),
 h AS (SELECT source, b, sum(size)::BIGINT AS mass FROM d WHERE size > 0 GROUP BY source, b),
