@@ -29,7 +29,7 @@ ROWS, BANDS = 5, 25
 MOST_DIFFERENT = 50
 STAR_ROUNDS = 2
 #: Classes of a bucket compared side by side.
-BLOCK = 1024
+BLOCK = 512
 MEMO = 400_000
 
 _rng = np.random.default_rng(20240229)
@@ -170,39 +170,132 @@ def _stars(buckets: DataFrame, seed: int) -> DataFrame:
     return pairs.select(F.col("node").alias("x"), "y").distinct()
 
 
-def _across(open_buckets: DataFrame, percent: int) -> DataFrame:
-    """(x, y): pairs of one bucket in different components that may be alike.
+def _pairs_within(frame: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of one group (``group``, rows sorted by it) that may be alike and lie in different components.
+
+    Pairs that an earlier band brings together are left to that band's bucket.
+    """
+    group, label, n, own, band = (frame[c].to_numpy() for c in ("group", "label", "n", "own", "band"))
+    cross = (frame["i"] != frame["j"]).to_numpy()
+    bits = frame[["b0", "b1", "b2", "b3"]].to_numpy(dtype=np.int64)
+    bands = np.stack(frame["bands"].to_list()) if len(frame) else np.zeros((0, BANDS), dtype=np.int64)
+    last = np.searchsorted(group, group, side="right")
+    count = last - np.arange(len(group)) - 1
+    total = np.cumsum(count)
+    at = 0
+    while at < len(group):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, side="right")))
+        a = np.repeat(np.arange(at, stop), count[at:stop])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count[at:stop]) - count[at:stop], count[at:stop])
+        at = stop
+        use = (label[a] != label[b]) & ((own[a] != own[b]) | ~cross[a])
+        a, b = a[use], b[use]
+        use = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+        a, b = a[use], b[use]
+        use = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= MOST_DIFFERENT
+        a, b = a[use], b[use]
+        use = np.argmax(bands[a] == bands[b], axis=1) == band[a]
+        yield a[use], b[use]
+
+
+def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets: one bit per shingle that two sets have, so many words at a time."""
+    used = np.unique(np.r_[a, b])
+    place = np.zeros(len(sets), dtype=np.int64)
+    place[used] = np.arange(len(used))
+    whole = np.concatenate([sets[u] for u in used]) if len(used) else np.zeros(0, dtype=np.int64)
+    owner = np.repeat(np.arange(len(used)), [len(sets[u]) for u in used]) if len(used) else np.zeros(0, dtype=np.int64)
+    _, which, often = np.unique(whole, return_inverse=True, return_counts=True)
+    common = np.cumsum(often > 1) - 1
+    keep = often[which] > 1
+    owner, bit = owner[keep], common[which[keep]]
+    out = np.zeros(len(a), dtype=np.int64)
+    width = 1 << 15
+    for low in range(0, int(common[-1]) + 1 if len(common) else 0, width):
+        inside = (bit >= low) & (bit < low + width)
+        table = np.zeros((len(used), width // 8), dtype=np.uint8)
+        np.bitwise_or.at(table, (owner[inside], (bit[inside] - low) // 8), np.uint8(1) << ((bit[inside] - low) % 8).astype(np.uint8))
+        words = table.view(np.uint64)
+        words = words[:, : -(-min(width, int(common[-1]) + 1 - low) // 64)]
+        for lo in range(0, len(a), 4096):
+            x, y = place[a[lo : lo + 4096]], place[b[lo : lo + 4096]]
+            out[lo : lo + 4096] += np.bitwise_count(words[x] & words[y]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _by_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of whole groups out of rows sorted by (band, key, i, j); adds ``group``."""
+    held, keys = None, ["band", "key", "i", "j"]
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        change = (pdf[keys].shift() != pdf[keys]).any(axis=1).to_numpy()
+        group = np.cumsum(change)
+        rest = group == group[-1] if len(group) else np.zeros(0, dtype=bool)
+        held = pdf[rest]
+        if not rest.all():
+            yield pdf[~rest].assign(group=group[~rest]).reset_index(drop=True)
+    if held is not None and len(held):
+        yield held.assign(group=0).reset_index(drop=True)
+
+
+def _across(docs: DataFrame, open_buckets: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of pairs of one bucket which are still apart.
 
     A bucket is cut into blocks, and every pair of blocks is compared by itself,
-    so no task holds more than two blocks whatever the bucket's size.
+    so no task holds more than two blocks whatever the bucket's size. Sketches
+    say which classes a comparison needs; only their sets are brought to it, and
+    it returns no more than a spanning forest of its links.
     """
     sizes = open_buckets.groupBy("band", "key").agg(F.count("*").alias("c"))
-    rows = open_buckets.join(sizes, ["band", "key"])
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    rows = open_buckets.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, n, part, own = (pdf[c].to_numpy() for c in ("node", "n", "label", "own"))
-        bits = pdf[["b0", "b1", "b2", "b3"]].to_numpy(dtype=np.int64)
-        lone = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        found = []
-        for at in range(len(node)):
-            if not lone and own[at] != pdf["i"].iloc[0]:
-                continue
-            others = np.arange(at + 1, len(node)) if lone else np.flatnonzero(own != own[at])
-            others = others[part[others] != part[at]]
-            small, large = np.minimum(n[others], n[at]), np.maximum(n[others], n[at])
-            others = others[small * 100 >= large * percent]
-            apart = np.bitwise_count(bits[others] ^ bits[at]).sum(axis=1)
-            others = others[apart <= MOST_DIFFERENT]
-            if len(others):
-                found.append(np.c_[np.full(len(others), node[at]), node[others]])
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"x": pairs.min(axis=1), "y": pairs.max(axis=1)})
-
-    return rows.groupBy("band", "key", "i", "j").applyInPandas(compare, "x bigint, y bigint").distinct()
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("band", "key", "i", "j", "own", "node", "label")
+    sketch = classes.select("node", "n", "b0", "b1", "b2", "b3", "bands")
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("band", "key", "i", "j")
+
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _by_group(batches):
+            hit = np.zeros(len(frame), dtype=bool)
+            for a, b in _pairs_within(frame, percent):
+                hit[a] = hit[b] = True
+            yield frame.loc[hit, ["band", "key", "i", "j", "own", "node", "label"]]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _by_group(batches):
+            node, n, sets = frame["node"].to_numpy(), frame["n"].to_numpy(), [np.asarray(x) for x in frame["set"]]
+            found = []
+            for a, b in _pairs_within(frame, percent):
+                for lo in range(0, len(a), 200_000):
+                    x, y = a[lo : lo + 200_000], b[lo : lo + 200_000]
+                    both = _shared(sets, x, y)
+                    good = both * 100 >= (n[x] + n[y] - both) * percent
+                    found.append(np.c_[x[good], y[good]])
+            links = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+            parent = np.arange(len(frame))
+            forest = []
+            for x, y in links.tolist():
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                if x != y:
+                    parent[y] = x
+                    forest.append((x, y))
+            ends = node[np.array(forest, dtype=np.int64).reshape(-1, 2)]
+            yield pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+    kinds = "band int, key bigint, i int, j int, own int, node bigint, label bigint"
+    dealt = rows.join(sketch, "node").repartition(slots, *keys).sortWithinPartitions(*keys)
+    asked = scratch.put(dealt.select(*keys, "own", "node", "label", "n", "b0", "b1", "b2", "b3", "bands").mapInPandas(needed, kinds), "asked")
+    wanted = scratch.put(classes.select("node", "ka", "kb").join(asked.select("node").distinct(), "node", "left_semi"), "asked_nodes")
+    sets = scratch.put(full_sets(docs, wanted), "asked_sets")
+    dealt = asked.join(sketch, "node").join(sets, "node").repartition(slots, *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, "own", "node", "label", "n", "b0", "b1", "b2", "b3", "bands", "set")
+    links = scratch.put(dealt.mapInPandas(compare, "a bigint, b bigint").distinct(), "across")
+    scratch.drop("asked", "asked_nodes", "asked_sets")
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -234,10 +327,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             more = _stars(still.select("node", "band", "key"), turn)
             tags = labels.select(F.col("node").alias("x"), F.col("label").alias("lx")), labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
             more = more.join(tags[0], "x", "left").join(tags[1], "y", "left").filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
+            fresh = linker.confirm(scratch.put(more, f"more{turn}"))
         else:
-            more = _across(still.join(classes.select("node", "n", "b0", "b1", "b2", "b3"), "node"), percent)
-        more = scratch.put(more, f"more{turn}")
-        links = scratch.put(links.unionByName(linker.confirm(more)), f"all{turn}")
+            fresh = _across(docs, still, classes, scratch, percent)
+        links = scratch.put(links.unionByName(fresh), f"all{turn}")
         labels = components(links, scratch, f"cc{turn}")
         scratch.drop(f"open{turn}", f"more{turn}", f"all{turn - 1}")
     whole = keys.join(labels, "node", "left").select("ka", "kb", F.coalesce("label", "node").alias("component_id"))
