@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgate.plans import relational
+from quillgate.plans import relational, textual
 from quillgate.plans.dialect import DUCK
 from quillgate.sources.model import compose, run_sql
 
+BUILDS = relational.QUERIES | textual.QUERIES
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,8 +19,8 @@ def _sql(build) -> Run:
 
 
 def queries() -> dict[str, Run]:
-    return {name: _sql(build) for name, build in relational.QUERIES.items()}
+    return {name: _sql(build) for name, build in BUILDS.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: compose(build(DUCK), DUCK) for name, build in relational.QUERIES.items()}
+    return {name: compose(build(DUCK), DUCK) for name, build in BUILDS.items()}

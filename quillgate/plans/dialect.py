@@ -103,6 +103,48 @@ class Dialect:
     def pick(self, value: str, key: str, greatest: bool) -> str:
         return f"{'max_by' if greatest else 'min_by'}({value}, {key})" if self.spark else f"{'arg_max' if greatest else 'arg_min'}({value}, {key})"
 
+    def take(self, array: str, n: str) -> str:
+        """The first n elements."""
+        return f"slice({array}, 1, {n})" if self.spark else f"{array}[1:{n}]"
+
+    def lengths(self, array: str) -> str:
+        """Summed lengths of an array of strings."""
+        return f"aggregate({array}, 0, (a, x) -> a + length(x))" if self.spark else f"CAST(coalesce(list_sum(list_transform({array}, lambda x: length(x))), 0) AS INTEGER)"
+
+    def indexes(self, n: str) -> str:
+        """1 to n, empty for 0."""
+        return f"filter(sequence(1, greatest({n}, 1)), i -> i <= {n})" if self.spark else f"generate_series(1, {n})"
+
+    def at(self, array: str, i: str) -> str:
+        return f"element_at({array}, {i})" if self.spark else f"{array}[{i}]"
+
+    def append(self, a: str, b: str) -> str:
+        return f"concat({a}, {b})" if self.spark else f"list_concat({a}, {b})"
+
+    def any(self, array: str, arg: str, test: str) -> str:
+        return f"exists({array}, {arg} -> {test})" if self.spark else f"len(list_filter({array}, lambda {arg}: {test})) > 0"
+
+    def fold(self, array: str, empty: str, kind: str, acc: str, x: str, step: str) -> str:
+        """Left fold of an array of records into an array of ``kind``; ``step`` yields the new array from ``acc`` and the record ``x``."""
+        if self.spark:
+            return f"aggregate({array}, CAST(array() AS array<{kind}>), ({acc}, {x}) -> {step})"
+        wrapped = f"list_transform({array}, lambda e: [e])"
+        return f"list_reduce({wrapped}, lambda {acc}, {x}w: (list_transform([{x}w[1]], lambda {x}: {step}))[1], {empty})"
+
+    def single(self, x: str) -> str:
+        return f"array({x})" if self.spark else f"[{x}]"
+
+    def strings(self, items: list[str]) -> str:
+        body = ", ".join(map(self.lit, items))
+        return f"array({body})" if self.spark else f"[{body}]"
+
+    def chars(self, text: str) -> str:
+        """One-character strings."""
+        return f"filter(split({text}, ''), c -> c <> '')" if self.spark else f"string_split({text}, '')"
+
+    def distinct(self, array: str) -> str:
+        return f"array_distinct({array})" if self.spark else f"list_distinct({array})"
+
     def record(self, **fields: str) -> str:
         if self.spark:
             return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
