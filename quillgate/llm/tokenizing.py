@@ -20,7 +20,7 @@ import numpy as np
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Words and pre-tokens that a worker remembers before it starts anew.
-WORDS_KEPT, PIECES_KEPT = 900_000, 600_000
+WORDS_KEPT, PIECES_KEPT = 700_000, 200_000
 ODD_SPACE = re.compile(r"[^\S \n]")
 ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -49,14 +49,17 @@ class _Pieces(dict):
     def __init__(self, model) -> None:
         self.tokenize, self.letters = model.tokenize, byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES_KEPT:
-            self.clear()
+    def ids(self, piece: str) -> bytes:
         if piece.isascii() and piece[1:].isalpha():
             spelled = "Ġ" + piece[1:] if piece[0] == " " else piece
         else:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
-        value = self[piece] = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= PIECES_KEPT:
+            self.clear()
+        value = self[piece] = self.ids(piece)
         return value
 
 
@@ -64,13 +67,13 @@ class _Words(dict):
     """word -> ids of a space and the word."""
 
     def __init__(self, pieces: _Pieces, library) -> None:
-        self.piece, self.library = pieces.__getitem__, library
+        self.piece, self.ids, self.library = pieces.__getitem__, pieces.ids, library
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
         if word.isalpha() and max(word) <= "ſ":
-            value = self.piece(" " + word)
+            value = self.ids(" " + word)
         elif word[-1:] in (",", ".") and word[:-1].isalpha() and max(word) <= "ſ":
             value = self[word[:-1]] + self.piece(word[-1])
         elif FAMILIAR.fullmatch(word):
