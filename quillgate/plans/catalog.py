@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgate.plans import relational, textual
+from quillgate.plans import programs, relational, textual
 from quillgate.plans.dialect import DUCK
 from quillgate.sources.model import compose, run_sql
 
@@ -19,8 +19,8 @@ def _sql(build) -> Run:
 
 
 def queries() -> dict[str, Run]:
-    return {name: _sql(build) for name, build in BUILDS.items()}
+    return {name: _sql(build) for name, build in BUILDS.items()} | programs.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {name: compose(build(DUCK), DUCK) for name, build in BUILDS.items()}
+    return {name: compose(build(DUCK), DUCK) for name, build in BUILDS.items()} | programs.ORACLES
