@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillgate.llm.components import components
 from quillgate.llm.scratch import Scratch
+from quillgate.llm.worker import only, release
 
 WORDS = 5
 PERCENT = 85
@@ -103,6 +104,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n, ka, kb (key of the shingle set), b0..b3 (sketch bits), bands."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("minhash", _HASHES.clear)
         for pdf in batches:
             rows = []
             for name, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -113,6 +115,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 values = signature(found)
                 rows.append((name, len(found), *set_key(found), *sketch_bits(values).tolist(), band_keys(values)))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "ka", "kb", "b0", "b1", "b2", "b3", "bands"])
+        release()
 
     kinds = "doc_id bigint, n bigint, ka bigint, kb bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, bands array<bigint>"
     return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(sketch, kinds)
@@ -122,10 +125,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, set) for the classes of ``wanted`` (node, ka, kb), read from the documents again."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only("minhash", _HASHES.clear)
         for pdf in batches:
             found = [shingles(t if isinstance(t, str) else None) for t in pdf["text"]]
             keys = [set_key(f) if len(f) else (0, 0) for f in found]
             yield pd.DataFrame({"node": pdf["doc_id"], "ka": [k[0] for k in keys], "kb": [k[1] for k in keys], "set": [f.view(np.int64) for f in found]})
+        release()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     rows = rows.mapInPandas(sets, "node bigint, ka bigint, kb bigint, set array<bigint>")
@@ -184,7 +189,7 @@ def _pairs_within(frame: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarra
     total = np.cumsum(count)
     at = 0
     while at < len(group):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, side="right")))
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 250_000, side="right")))
         a = np.repeat(np.arange(at, stop), count[at:stop])
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count[at:stop]) - count[at:stop], count[at:stop])
         at = stop
@@ -261,6 +266,7 @@ def _across(docs: DataFrame, open_buckets: DataFrame, classes: DataFrame, scratc
             for a, b in _pairs_within(frame, percent):
                 hit[a] = hit[b] = True
             yield frame.loc[hit, ["band", "key", "i", "j", "own", "node", "label"]]
+        release()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _by_group(batches):
@@ -285,6 +291,7 @@ def _across(docs: DataFrame, open_buckets: DataFrame, classes: DataFrame, scratc
                     forest.append((x, y))
             ends = node[np.array(forest, dtype=np.int64).reshape(-1, 2)]
             yield pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+        release()
 
     kinds = "band int, key bigint, i int, j int, own int, node bigint, label bigint"
     dealt = rows.join(sketch, "node").repartition(slots, *keys).sortWithinPartitions(*keys)

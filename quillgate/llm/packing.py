@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillgate.llm.scratch import Scratch
 from quillgate.llm.tokenizing import END_ID, default_path, encoder
+from quillgate.llm.worker import release
 
 CAPACITY = 1024
 SHARD = 4096
@@ -144,6 +145,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
                         uid += 1
                 frame = pd.DataFrame(rows, columns=["uid", "doc_id", "piece", "start", "length", "ids_crc32", "shard"])
                 yield frame.astype({"doc_id": object, "shard": "Int64"})
+        release()
 
     return docs.select("doc_id", "text").mapInPandas(cut, f"uid bigint, doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, shard bigint")
 

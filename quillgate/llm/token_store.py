@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quillgate.llm.scratch import Scratch
 from quillgate.llm.tokenizing import END_ID, default_path, encoder
+from quillgate.llm.worker import release
 
 MAGIC = b"QDAC"
 BLOCK = 512  # bits between rank directory entries
@@ -148,6 +149,7 @@ def write_store(docs: DataFrame, scratch: Scratch, path: str | None = None, end:
                         yield flush()
         if held:
             yield flush()
+        release()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInPandas(encode, f"part int, place int, doc_ids array<{kind}>, n_tokens bigint, start bigint, segment binary")

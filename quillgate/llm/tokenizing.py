@@ -17,6 +17,8 @@ from array import array
 
 import numpy as np
 
+from quillgate.llm.worker import only
+
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Words and pre-tokens that a worker remembers before it starts anew.
@@ -125,6 +127,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
+    only("tokenizing", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

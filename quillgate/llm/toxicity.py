@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgate.llm.worker import only, release
+
 WORD = re.compile(r"[^\W\d_]+")
 CARRIER = b"<<[window of text]>>"
 DICTIONARY_BYTES = 16384
@@ -35,7 +37,7 @@ LEVELS = (1, 2, 3, 4, 5)
 SAMPLE = 4000
 LONGEST = 50_000
 THRESHOLD = 0.3
-MEMO = 400_000
+MEMO = 300_000
 
 
 def words(text: str | None) -> list[str]:
@@ -152,6 +154,7 @@ def toxicity(model: ToxicModel):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only("toxicity", _LOADED.clear)
         key = hash(model)
         if key not in _LOADED:
             _LOADED.clear()
@@ -160,6 +163,7 @@ def toxicity(model: ToxicModel):
         for texts in batches:
             rows = [gains.features(t) for t in texts]
             yield pd.Series(model.scores(np.array(rows)) if rows else [], dtype="float64")
+        release()
 
     return score
 
