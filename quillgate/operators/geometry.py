@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -130,11 +131,31 @@ def merge_boxes(boxes: list[tuple]) -> list[tuple]:
 
 
 def merge_page_boxes(boxes: DataFrame) -> DataFrame:
-    """``merge_boxes`` for every (document_id, page) of boxes (seq, box)."""
+    """``merge_boxes`` for every (document_id, page) of boxes (seq, box).
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        merged = merge_boxes(list(pdf[["pos_x", "pos_y", "pos_w", "pos_h"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(key[0], key[1], i + 1, *b) for i, b in enumerate(merged)], columns=["document_id", "page", "n", "pos_x", "pos_y", "pos_w", "pos_h"])
+    Rows are dealt and sorted by page, and whole pages are taken from each batch;
+    the last page of a batch waits for the next.
+    """
+    names = ["pos_x", "pos_y", "pos_w", "pos_h"]
 
-    return boxes.groupBy("document_id", "page").applyInPandas(run, f"document_id bigint, page int, n int, {BOX}")
+    def pages(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for key, part in pdf.groupby(["document_id", "page"], sort=False):
+            merged = merge_boxes(list(zip(*(part[c] for c in names), strict=True)))
+            rows += [(*key, i + 1, *b) for i, b in enumerate(merged)]
+        return pd.DataFrame(rows, columns=["document_id", "page", "n", *names])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = (pdf["document_id"] == pdf["document_id"].iloc[-1]) & (pdf["page"] == pdf["page"].iloc[-1])
+            held = pdf[last]
+            yield pages(pdf[~last])
+        if held is not None:
+            yield pages(held)
+
+    dealt = boxes.repartition("document_id", "page").sortWithinPartitions("document_id", "page", "seq")
+    return dealt.select("document_id", "page", "seq", *names).mapInPandas(run, f"document_id bigint, page int, n int, {BOX}")

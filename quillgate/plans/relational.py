@@ -659,3 +659,25 @@ def rolling_24h(d):
 @query
 def retry_backoff(d):
     return "SELECT event_id, event_id % 6 AS attempt, least(30000, 500 * CAST(power(2, event_id % 6) AS BIGINT)) AS low_ms, least(30000, 500 * CAST(power(2, event_id % 6) AS BIGINT)) + 250 AS high_ms, event_type IN ('error', 'view') AS transient FROM events"
+
+
+# --- corrected variants: the literal forms above keep known slips of the original logic ----------------
+
+
+@query
+def agg_qa_simulation_fixed(d):
+    """Low confidence on the 0 to 100 scale that confidences have."""
+    return f"SELECT document_id, {count_if("status = 'accepted' AND confidence < 60")} AS low_confidence FROM detection GROUP BY document_id"
+
+
+@query
+def agg_workload_fixed(d):
+    """Review entries count too, also those without a user."""
+    return f"SELECT coalesce(user_id, -1) AS user_id, count(*) AS actions FROM audit WHERE type IN ('detection-accepted', 'detection-rejected', 'detection-update', 'review-submitted', 'review') GROUP BY coalesce(user_id, -1)"
+
+
+@query
+def upd_similar_fixed(d):
+    """The tray's own key: type, and text with collapsed white space."""
+    norm = d.rx_replace("lower(trim(text))", r"\s+", " ")
+    return f"SELECT detection_id, CASE WHEN status = 'pending' AND type = 'phone' AND {norm} = 'term 1' THEN 'accepted' ELSE status END AS status FROM detection"
