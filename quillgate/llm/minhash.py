@@ -23,11 +23,9 @@ from quillgate.llm.scratch import Scratch
 from quillgate.llm.worker import only, release
 
 WORDS = 5
-PERCENT = 85
+PERCENT = 80
 PERMUTATIONS = 64
 ROWS, BANDS = 5, 25
-#: A pair whose 256 sketch bits differ in more places has, but for a chance of 1e-8, a similarity below the threshold.
-MOST_DIFFERENT = 50
 STAR_ROUNDS = 2
 #: Classes of a bucket compared side by side.
 BLOCK = 512
@@ -39,6 +37,12 @@ _ADD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _PLACES = _rng.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def most_different(percent: int) -> int:
+    """Differing places of the 256 sketch bits that a pair at the threshold exceeds with a chance of 1e-9 (six standard deviations)."""
+    p = 1 - percent / 100
+    return int(PERMUTATIONS * 2 * p + 6 * (PERMUTATIONS * 2 * (1.5 * p - p * p)) ** 0.5)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (a public finaliser with fixed constants)."""
     x = x ^ (x >> np.uint64(33))
@@ -153,7 +157,7 @@ class Linker:
         put, t = self.scratch.put, self.turn
         side = lambda s: self.classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), *[F.col(f"b{i}").alias(f"{s}{i}") for i in range(4)])
         apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, 4)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
-        near = pairs.join(side("x"), "x").join(side("y"), "y").filter(apart <= MOST_DIFFERENT)
+        near = pairs.join(side("x"), "x").join(side("y"), "y").filter(apart <= most_different(self.percent))
         near = near.filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * self.percent)
         near = put(near.select("x", "y", "nx", "ny"), f"near{t}")
         nodes = near.select(F.col("x").alias("node")).unionByName(near.select(F.col("y").alias("node"))).distinct()
@@ -197,7 +201,7 @@ def _pairs_within(frame: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarra
         a, b = a[use], b[use]
         use = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
         a, b = a[use], b[use]
-        use = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= MOST_DIFFERENT
+        use = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most_different(percent)
         a, b = a[use], b[use]
         use = np.argmax(bands[a] == bands[b], axis=1) == band[a]
         yield a[use], b[use]
@@ -312,7 +316,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     shingles of both. Null and wordless texts have no shingles and no links.
     Rows that share a doc_id are one document; rows without a doc_id are left
     out. Columns besides doc_id and text are ignored; an empty table gives none.
-    A pair at the threshold meets in no band with a chance of 4e-7.
+    A pair at the threshold meets in no band with a chance of 5e-5 at 80 percent
+    and of 4e-7 at 85.
     """
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.put(sketches(docs), "sketches")
@@ -355,4 +360,4 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)

@@ -50,14 +50,15 @@ def test_near_duplicates(spark, monkeypatch):
             texts[at] = " ".join(words)
             at += 1
     want = groups({i: shingle_sets(t) for i, t in texts.items()})
-    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 85).collect()
     assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 12
 
 
 def test_near_duplicates_of_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    want = groups({r.doc_id: shingle_sets(r.text) for r in docs.collect()})
-    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == want
+    for percent in (80, 85):
+        want = groups({r.doc_id: shingle_sets(r.text) for r in docs.collect()}, percent)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent).collect()} == want
 
 
 def test_signature_is_unbiased():
