@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from quillgate.functions.spans import claim, concat_all, span_columns, spans
+from quillgate.functions.spans import claim, concat_all, pinned, span_columns, spans
 from quillgate.plans.dialect import Dialect
 
 #: Word edges by ASCII letters, whatever stands beside them.
@@ -69,7 +69,9 @@ def context_guard(d: Dialect, text: str, start: str, words: tuple[str, ...], win
 
 def detect_patterns(d: Dialect, pages: str) -> str:
     """SQL over ``pages`` (doc_id, page, text): a row per claimed span, from one pass over each text."""
-    columns = ", ".join(span_columns(d, "text", _pattern(d, k, b, p), f"p{i}") for i, (k, b, p) in enumerate(PATTERNS))
+    columns: dict[str, str] = {}
+    for i, (k, b, p) in enumerate(PATTERNS):
+        columns |= span_columns(d, "text", _pattern(d, k, b, p), f"p{i}")
     found = []
     for i, (kind, _, _) in enumerate(PATTERNS):
         test = f"length({d.trim('x.t')}) >= 3"
@@ -81,7 +83,7 @@ def detect_patterns(d: Dialect, pages: str) -> str:
             test += f" AND (x.s = 0 OR {edge('CAST(x.s AS INT)')}) AND (x.e >= length(text) OR {edge('CAST(x.e + 1 AS INT)')})"
         found.append(d.keep(spans(d, f"p{i}", kind), "x", test))
     kept = claim(d, concat_all(d, found))
-    base = f"(SELECT doc_id, page, {kept} AS kept FROM (SELECT doc_id, page, text, {columns} FROM {pages} WHERE text <> '') AS a)"
+    base = f"(SELECT doc_id, page, {kept} AS kept FROM {pinned(d, f"(SELECT doc_id, page, text FROM {pages} WHERE text <> '') AS src", 'doc_id, page, text', columns)} AS a)"
     return f"SELECT doc_id, page, item.kind AS type, {d.trim('item.t')} AS text, 95 AS confidence, item.s AS start FROM {d.exploded(base, 'kept', 'n', 'item')} AS z"
 
 
@@ -92,12 +94,14 @@ def label_pattern(labels: tuple[str, ...]) -> str:
 
 def detect_labels(d: Dialect, pages: str) -> str:
     """SQL over ``pages``: a row per value that follows a label at the start of a line or cell."""
-    columns, found = [], []
+    columns: dict[str, str] = {}
+    found = []
     every = sorted({x for _, names in LABELS for x in names})
     another = r"^(?:" + "|".join(re.escape(x).replace(r"\-", "-").replace(r"\ ", " ") for x in sorted(every, key=len, reverse=True)) + r")(?:\s|$)"
     for i, (kind, names) in enumerate(LABELS):
         pattern = label_pattern(names)
-        columns.append(f"{span_columns(d, 'text', pattern, f'p{i}')}, regexp_extract_all(text, {d.lit(pattern)}, 2) AS p{i}_v, regexp_extract_all(text, {d.lit(pattern)}, 1) AS p{i}_l")
+        columns |= span_columns(d, "text", pattern, f"p{i}")
+        columns |= {f"p{i}_v": f"regexp_extract_all(text, {d.lit(pattern)}, 2)", f"p{i}_l": f"regexp_extract_all(text, {d.lit(pattern)}, 1)"}
         g, m, v = f"p{i}_g", f"p{i}_m", d.at(f"p{i}_v", "i")
         end = f"{d.lengths(d.take(g, 'i'))} + {d.lengths(d.take(m, 'i'))}"
         record = d.record(kind=f"concat({d.lit(kind)}, '|', lower({d.at(f'p{i}_l', 'i')}))", s=f"{end} - length({v})", e=end, t=v)
@@ -109,7 +113,7 @@ def detect_labels(d: Dialect, pages: str) -> str:
             test.append(d.rx(value, ICD_VALUE))
         found.append(d.keep(d.each(d.indexes(d.size(m)), "i", record), "x", " AND ".join(test)))
     kept = claim(d, concat_all(d, found))
-    base = f"(SELECT doc_id, page, {kept} AS kept FROM (SELECT doc_id, page, text, {', '.join(columns)} FROM {pages} WHERE text <> '') AS a)"
+    base = f"(SELECT doc_id, page, {kept} AS kept FROM {pinned(d, f"(SELECT doc_id, page, text FROM {pages} WHERE text <> '') AS src", 'doc_id, page, text', columns)} AS a)"
     kind, label = d.rx_extract("item.kind", r"^([^|]*)\|", 1), d.rx_extract("item.kind", r"\|(.*)$", 1)
     return f"SELECT doc_id, page, {kind} AS type, {label} AS label, {d.trim('item.t')} AS text, item.s AS start FROM {d.exploded(base, 'kept', 'n', 'item')} AS z"
 
@@ -117,7 +121,7 @@ def detect_labels(d: Dialect, pages: str) -> str:
 def keyword_spans(d: Dialect, pages: str, rule_id: str, kind: str, pattern: str, confidence: int, fold: bool = False) -> str:
     """SQL: every match of one rule's pattern in ``pages``; ``fold`` matches on the lower-cased text and returns the original."""
     text = "lower(text)" if fold else "text"
-    base = f"(SELECT doc_id, page, text, {spans(d, 'p', kind)} AS found FROM (SELECT doc_id, page, text, {span_columns(d, text, pattern, 'p')} FROM {pages} WHERE text <> '') AS a)"
+    base = f"(SELECT doc_id, page, text, {spans(d, 'p', kind)} AS found FROM {pinned(d, f"(SELECT doc_id, page, text FROM {pages} WHERE text <> '') AS src", 'doc_id, page, text', span_columns(d, text, pattern, 'p'))} AS a)"
     shown = d.sub("text", "item.s + 1", "item.e - item.s")
     return f"SELECT '{rule_id}' AS rule_id, doc_id, page, item.kind AS type, {shown} AS text, {confidence} AS confidence, item.s AS start FROM {d.exploded(base, 'found', 'n', 'item')} AS z"
 

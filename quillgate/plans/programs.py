@@ -12,7 +12,7 @@ from quillgate.operators import dedup, geometry, structure
 from quillgate.plans.dialect import DUCK, Dialect
 from quillgate.plans.textual import normal
 from quillgate.sources import files
-from quillgate.sources.model import compose, run_sql
+from quillgate.sources.model import compose, read_table, run_sql
 from quillgate.streaming import streams
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +26,7 @@ def query(run: Run) -> Run:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 # --- similarity inside a batch --------------------------------------------------
@@ -90,7 +90,7 @@ ORACLES["set_intersection"] = f"WITH {_SETS} SELECT doc_id, CAST(shared AS BIGIN
 
 def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as pages of words, ten to a line."""
-    pages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
+    pages = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
     word = lambda w, i: F.struct(w.alias("text"), F.array(*[x.cast("double") for x in ((i % 10) * 60, F.floor(i / 10) * 20, (i % 10) * 60 + 50, F.floor(i / 10) * 20, (i % 10) * 60 + 50, F.floor(i / 10) * 20 + 12, (i % 10) * 60, F.floor(i / 10) * 20 + 12)]).alias("polygon"))
     return pages.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.transform("w", word).alias("words"), "w")
 
@@ -150,7 +150,7 @@ def html_blocks(spark, sf_dir):
             rows = [(i, n, *b) for i, html in zip(pdf["page_id"], pdf["html"], strict=True) for n, b in enumerate(structure.html_blocks(html))]
             yield pd.DataFrame(rows, columns=["page_id", "n", "kind", "text", "level"])
 
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").mapInPandas(run, "page_id bigint, n int, kind string, text string, level int")
+    return read_table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id bigint, n int, kind string, text string, level int")
 
 
 @query
@@ -220,7 +220,7 @@ def _mail(subject: str, body: str) -> bytes:
 
 @query
 def src_eml(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("turn = 0").select(F.col("conv_id").alias("file_id"), F.concat(F.lit("Case "), F.col("conv_id")).alias("subject"), "text")
+    rows = read_table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("file_id"), F.concat(F.lit("Case "), F.col("conv_id")).alias("subject"), "text")
     return files.extract_pages(_made(rows, "EML", _mail)).select("file_id", "page", "text", "error")
 
 
@@ -239,7 +239,7 @@ def src_blob(spark, sf_dir):
 @query
 def sink_zip(spark, sf_dir):
     """An archive per conversation, a file per turn."""
-    parts = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").alias("file_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("parts"))
+    parts = read_table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("file_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("parts"))
     made = _made(parts, "ZIP", lambda p: files.make_zip({f"turn-{x['turn']}.txt": x["text"] for x in p}))
     return made.select("file_id", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 

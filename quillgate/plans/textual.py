@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quillgate.functions.spans import span_columns, spans
+from quillgate.functions.spans import pinned, span_columns, spans
 from quillgate.operators import detection as det
 from quillgate.plans.dialect import Dialect
 from quillgate.plans.relational import half_up, lookup, n
@@ -32,7 +32,7 @@ def win_pattern_claim(d):
 
 @query
 def regex_offsets(d):
-    base = f"(SELECT doc_id, page, {spans(d, 'p', 'number')} AS found FROM (SELECT doc_id, page, {span_columns(d, 'text', '[0-9]+', 'p')} FROM page_text) AS a)"
+    base = f"(SELECT doc_id, page, {spans(d, 'p', 'number')} AS found FROM {pinned(d, 'page_text', 'doc_id, page', span_columns(d, 'text', '[0-9]+', 'p'))} AS a)"
     return f"SELECT doc_id, page, item.s AS start, item.t AS text FROM {d.exploded(base, 'found', 'n', 'item')} AS z"
 
 

@@ -112,11 +112,25 @@ def compose(query: str, d: Dialect) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in used) + f"\nSELECT * FROM (\n{query}\n) AS q"
 
 
+#: Text tables, whose rows cost far more to work on than to move.
+TEXT_TABLES = ("documents", "pages", "conversations")
+#: Up to this many bytes of files a text table is dealt to all cores; a larger one has enough splits of its own and is never shuffled for that.
+SPREAD_BYTES = 256 << 20
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; a small text table (one file, often one row group, is one task) is spread over the cores."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES and int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES:
+        return table.repartition(spark.sparkContext.defaultParallelism)
+    return table
+
+
 def register(spark: SparkSession, sf_dir: str, text: str) -> None:
     """Temporary views over the tables that ``text`` names."""
     for name in TABLES:
         if re.search(rf"\b{name}\b", text):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+            read_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def run_sql(spark: SparkSession, sf_dir: str, build: Callable[[Dialect], str]) -> DataFrame:
