@@ -17,8 +17,17 @@ from quillgate.llm.scratch import Scratch
 from quillgate.llm.toxicity import score_documents, train
 
 
+#: Rows of one Arrow batch while the pipeline runs: whole texts pass through Python workers, and batches bound what they and the executors hold.
+BATCH_ROWS = 2000
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not call toxic."""
+    _bounded(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_documents(docs, model).filter("predicted = 0").select(*docs.columns)
 
@@ -32,6 +41,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    _bounded(spark)
     return keep_one(docs)
 
 
@@ -42,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 1024 tokens."""
+    _bounded(spark)
     return pack_documents(docs)
 
 
