@@ -193,7 +193,7 @@ def _pairs_within(frame: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarra
     total = np.cumsum(count)
     at = 0
     while at < len(group):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 250_000, side="right")))
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 100_000, side="right")))
         a = np.repeat(np.arange(at, stop), count[at:stop])
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count[at:stop]) - count[at:stop], count[at:stop])
         at = stop
