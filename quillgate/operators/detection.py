@@ -118,10 +118,15 @@ def detect_labels(d: Dialect, pages: str) -> str:
     return f"SELECT doc_id, page, {kind} AS type, {label} AS label, {d.trim('item.t')} AS text, item.s AS start FROM {d.exploded(base, 'kept', 'n', 'item')} AS z"
 
 
-def keyword_spans(d: Dialect, pages: str, rule_id: str, kind: str, pattern: str, confidence: int, fold: bool = False) -> str:
-    """SQL: every match of one rule's pattern in ``pages``; ``fold`` matches on the lower-cased text and returns the original."""
+def keyword_spans(d: Dialect, pages: str, rule_id: str, kind: str, pattern: str, confidence: int, fold: bool = False, needle: str = "") -> str:
+    """SQL: every match of one rule's pattern in ``pages``.
+
+    ``fold`` matches on the lower-cased text and returns the original; texts
+    without ``needle`` (lower case) are passed over before any pattern runs.
+    """
     text = "lower(text)" if fold else "text"
-    base = f"(SELECT doc_id, page, text, {spans(d, 'p', kind)} AS found FROM {pinned(d, f"(SELECT doc_id, page, text FROM {pages} WHERE text <> '') AS src", 'doc_id, page, text', span_columns(d, text, pattern, 'p'))} AS a)"
+    some = f" AND contains(lower(text), {d.lit(needle)})" if needle else ""
+    base = f"(SELECT doc_id, page, text, {spans(d, 'p', kind)} AS found FROM {pinned(d, f"(SELECT doc_id, page, text FROM {pages} WHERE text <> ''{some}) AS src", 'doc_id, page, text', span_columns(d, text, pattern, 'p'))} AS a)"
     shown = d.sub("text", "item.s + 1", "item.e - item.s")
     return f"SELECT '{rule_id}' AS rule_id, doc_id, page, item.kind AS type, {shown} AS text, {confidence} AS confidence, item.s AS start FROM {d.exploded(base, 'found', 'n', 'item')} AS z"
 
@@ -142,9 +147,9 @@ def rule_matches(d: Dialect, pages: str, rules: list[tuple], modes: tuple[str, .
         for word in filter(None, map(str.strip, keywords.split(","))):
             quoted = re.escape(word)
             if mode == "Fuzzy":
-                parts.append(keyword_spans(d, pages, rule_id, kind, quoted.lower(), 75, fold=True))
+                parts.append(keyword_spans(d, pages, rule_id, kind, quoted.lower(), 75, fold=True, needle=word.lower()))
             else:
-                parts.append(keyword_spans(d, pages, rule_id, kind, f"(?i){LEFT}{quoted}{RIGHT}" if d.spark else rf"(?i)\b{quoted}\b", 90))
+                parts.append(keyword_spans(d, pages, rule_id, kind, f"(?i){LEFT}{quoted}{RIGHT}" if d.spark else rf"(?i)\b{quoted}\b", 90, needle=word.lower()))
     return " UNION ALL ".join(parts)
 
 
