@@ -2,7 +2,8 @@
 
 Every line is hashed; a HyperLogLog sketch of the sites per line hash merges by
 aggregation. Lines whose estimate lies near the threshold are counted exactly.
-Lines on ``min_sites`` sites or more are boilerplate and go from every text.
+Lines on ``min_sites`` sites or more are boilerplate and go from every text
+that has other lines.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from quillgate.llm.scratch import Scratch
 
 MIN_SITES = 10
-MAX_SHARE = 0.5
 LG_K = 8
 #: Estimates within this share of the threshold are counted exactly: four standard errors of a sketch with 2^8 registers.
 MARGIN = 4 * 1.04 / 16
@@ -54,13 +54,12 @@ def boilerplate_lines(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_S
     return clear.unionByName(exact)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus n_lines and n_removed.
 
     A site is a ``source`` (null counts as the empty one). Lines are compared
-    without surrounding white space; blank lines stay. A document of whose
-    non-blank line characters more than ``max_share`` would go is a copy rather
-    than a page with boilerplate: it stays whole, for the stages that look for
+    without surrounding white space; blank lines stay. A document that would be
+    left with no non-blank line stays whole, for the stages that look for
     copies. Null texts stay null with 0 lines; an empty table gives no rows;
     repeated rows are treated alike; further columns pass through (n_lines and
     n_removed are replaced).
@@ -77,12 +76,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float =
     out = docs.withColumns({"__id": F.col("doc_id"), "__t": F.xxhash64("text")}).alias("d")
     out = out.join(cuts.alias("c"), F.col("d.__id").eqNullSafe(F.col("c.__id")) & (F.col("d.__t") == F.col("c.__t")), "left")
     out = out.select(*[F.col(f"d.`{c}`").alias(c) for c in rest], F.col("d.text").alias("text"), F.split("d.text", "\n").alias("__l"), F.col("__cut"))
-    chars = F.aggregate("__l", F.lit(0).cast("long"), lambda a, x: a + F.when(bare_line(x) == "", 0).otherwise(F.length(x)))
-    gone = F.aggregate("__cut", F.lit(0).cast("long"), lambda a, i: a + F.length(F.element_at("__l", i + 1)))
-    drops = F.col("__cut").isNotNull() & (gone <= chars * max_share)
+    filled = F.size(F.filter("__l", lambda x: bare_line(x) != ""))
+    drops = F.size("__cut") < filled
     out = out.withColumn("__drop", F.when(F.col("__cut").isNotNull(), drops).otherwise(False))
     text = F.when(F.col("__drop"), F.array_join(F.filter("__l", lambda x, i: ~F.array_contains("__cut", i)), "\n")).otherwise(F.col("text"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter("__l", lambda x: bare_line(x) != "")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(filled)
     n_removed = F.when(F.col("__drop"), F.size("__cut")).otherwise(0)
     out = out.select(*[f"`{c}`" for c in rest], text.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
     order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quillgate.llm import hamming, hnsw, minhash, mixing, packing, pii, token_store, toxicity
+from quillgate.llm import hamming, hnsw, line_dedup, minhash, mixing, packing, pii, token_store, toxicity
 from quillgate.llm.components import components
 from quillgate.llm.registry import ORACLES, QUERIES
 from quillgate.llm.scratch import Scratch
@@ -61,6 +61,24 @@ def test_near_duplicates_of_the_documents(spark):
         assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, percent).collect()} == want
 
 
+def test_line_dedup_of_pages_that_are_mostly_boilerplate(spark):
+    header, passage = "a header on every page of the site", " ".join(f"shared{i}" for i in range(70))
+    rows = [(i, f"{header}\nown {i}\n\n{passage}", f"s{i}") for i in range(10)]
+    rows += [(10, header, "s0"), (11, f"{header}\n \n{passage}", "s1"), (12, f"own\n{passage}\n{passage}", "s2"), (13, "own\nlines", "s3"), (14, None, "s4")]
+    sites = {}
+    for _, text, site in rows:
+        for line in (text or "").split("\n"):
+            sites.setdefault(line.strip(), set()).add(site)
+    want = {}
+    for i, text, _ in rows:
+        lines = (text or "").split("\n")
+        cut = [bool(x.strip()) and len(sites[x.strip()]) >= 10 for x in lines]
+        left = "\n".join(x for x, gone in zip(lines, cut) if not gone)
+        want[i] = (left, sum(cut)) if left.strip() else (text, 0)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == want and want[0] == ("own 0\n", 2) and want[11][1] == 0
+
+
 def test_signature_is_unbiased():
     rng = np.random.default_rng(0)
     common, errors = rng.integers(0, 2**63, 700, dtype=np.uint64), []
