@@ -94,6 +94,17 @@ def test_components_of_a_chain(spark):
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[60] == 50
 
 
+def test_components_of_a_long_ascending_chain(spark):
+    class Counted(Scratch):
+        def put(self, df, name):
+            assert name != "cc_edges30", "a round per member"
+            return super().put(df, name)
+
+    links = spark.range(300).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.range(1, 60).selectExpr("1000 AS a", "1000 + id * (CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END) AS b"))
+    got = {r.node: r.label for r in components(links, Counted(spark, "c")).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 941 for i in [1000, *(1000 + i * (1 if i % 2 == 0 else -1) for i in range(1, 60))]}
+
+
 def test_targets(spark):
     rng = random.Random(9)
     for _ in range(3):
