@@ -110,7 +110,15 @@ def ole_streams(data: bytes) -> dict[str, bytes]:
     size, mini = 1 << struct.unpack_from("<H", data, 30)[0], 1 << struct.unpack_from("<H", data, 32)[0]
     sector = lambda i: data[(i + 1) * size : (i + 2) * size]
     first_dir, cutoff, first_mini = struct.unpack_from("<I", data, 48)[0], struct.unpack_from("<I", data, 56)[0], struct.unpack_from("<I", data, 60)[0]
-    difat = [x for x in struct.unpack_from("<109I", data, 76) if x < 0xFFFFFFFA]
+    listed = list(struct.unpack_from("<109I", data, 76))
+    more, seen = struct.unpack_from("<I", data, 68)[0], set()
+    while more < 0xFFFFFFFA:  # sectors of the DIFAT: FAT sectors, then the next of its kind
+        if more in seen:
+            raise ValueError("a loop of DIFAT sectors")
+        seen.add(more)
+        *rest, more = struct.unpack(f"<{size // 4}I", sector(more))
+        listed += rest
+    difat = [x for x in listed if x < 0xFFFFFFFA]
     fat = [x for s in difat for x in struct.unpack(f"<{size // 4}I", sector(s))]
 
     def chain(start: int, table: list[int]) -> Iterator[int]:

@@ -1,6 +1,7 @@
 """Cases of single operators, and properties."""
 
 import random
+import struct
 
 from quillgate.operators import dedup, detection, geometry, structure
 from quillgate.plans.dialect import SPARK
@@ -107,3 +108,20 @@ def test_unknown_and_broken_files_are_reported(spark):
     rows = [(1, "PST", b"x"), (2, "DOCX", b"no zip"), (3, "MSG", b"no ole"), (4, "TXT", b"hi")]
     got = {r.file_id: (r.text, r.error is not None) for r in files.extract_pages(spark.createDataFrame(rows, "file_id bigint, file_type string, content binary")).collect()}
     assert got == {1: (None, True), 2: (None, True), 3: (None, True), 4: ("hi", False)}
+
+
+def test_message_with_more_fat_sectors_than_the_header_lists():
+    body = b"".join(b"line %07d\r\n" % i for i in range(520_000))  # 7.3 MB in sectors of 512 bytes
+    held = -(-len(body) // 512)
+    fats = next(f for f in range(1, 999) if f * 128 >= f + 2 + held)
+    assert fats > 109
+    end, first = 0xFFFFFFFE, fats + 2
+    table = [0xFFFFFFFD] * fats + [0xFFFFFFFC, end] + [*range(first + 1, first + held), end]
+    table += [0xFFFFFFFF] * (fats * 128 - len(table))
+    entry = lambda name, kind, child, start, size: struct.pack("<64sHBBIII36xIQ", (name + "\0").encode("utf-16-le"), 2 * len(name) + 2, kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, child, start, size)
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + struct.pack("<16xHHHHH6xIIIIIIIII", 62, 3, 0xFFFE, 9, 6, 0, fats, fats + 1, 0, 4096, end, 0, fats, 1)
+    head += struct.pack("<109I", *range(109))
+    difat = struct.pack("<128I", *range(109, fats), *[0xFFFFFFFF] * (127 - (fats - 109)), end)
+    listing = entry("Root Entry", 5, 1, end, 0) + entry("__substg1.0_1000001E", 2, 0xFFFFFFFF, first, len(body)) + bytes(256)
+    data = head + struct.pack(f"<{len(table)}I", *table) + difat + listing + body + bytes(-len(body) % 512)
+    assert files.msg_pages(data)[1] == (2, body.decode())
