@@ -294,8 +294,7 @@ def train(labelled: tuple[str, ...] = LABELLED, steps: int = 150, rate: float =
     return Chain(*theta)
 
 
-#: Longest sequence decoded as one; longer lines are cut there. Code points decoded in one batch.
-LINE = 200
+#: Code points decoded in one batch; a longer line is a batch of its own.
 BATCH = 1_000_000
 
 
@@ -305,9 +304,7 @@ def chain_spans(chain: Chain, codes: np.ndarray) -> list[Span]:
     if not len(starts):
         return []
     line = np.cumsum(codes == 10)[starts]
-    fresh = np.r_[True, line[1:] != line[:-1]]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(starts)), 0))
-    opens = (np.arange(len(starts)) - first) % LINE == 0
+    opens = np.r_[True, line[1:] != line[:-1]]
     scores = chain.emissions(shapes(codes, starts, ends), opens)
     at = np.flatnonzero(opens)
     tags = chain.viterbi(scores, at, np.diff(np.r_[at, len(starts)]))
@@ -325,7 +322,7 @@ def chain_spans(chain: Chain, codes: np.ndarray) -> list[Span]:
 
 
 def added_spans(chain: Chain, texts: list[str]) -> list[list[Span]]:
-    """Spans that the chain finds in each whole text; texts are decoded together up to BATCH code points, longer ones in parts cut at white space."""
+    """Spans that the chain finds in each whole text; texts are decoded together up to BATCH code points, longer ones in parts cut at line ends."""
     out: list[list[Span]] = [[] for _ in texts]
     queue: list[tuple[int, int, str]] = []
 
@@ -345,9 +342,9 @@ def added_spans(chain: Chain, texts: list[str]) -> list[list[Span]]:
         while at < len(text):
             stop = min(len(text), at + BATCH)
             if stop < len(text):
-                gap = max(text.rfind("\n", at, stop), at) or at
-                gap = gap if gap > at else text.rfind(" ", at, stop)
-                stop = gap + 1 if gap > at else stop
+                gap = text.rfind("\n", at, stop)
+                gap = gap if gap >= 0 else text.find("\n", stop)
+                stop = gap + 1 if gap >= 0 else len(text)
             if size + stop - at > BATCH and queue:
                 flush()
                 size = 0

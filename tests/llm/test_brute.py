@@ -105,6 +105,26 @@ def test_components_of_a_long_ascending_chain(spark):
     assert got == {i: 0 for i in range(301)} | {i: 941 for i in [1000, *(1000 + i * (1 if i % 2 == 0 else -1) for i in range(1, 60))]}
 
 
+def test_personal_data_in_long_lines(monkeypatch):
+    chain = pii.train()
+    fill, said = "the hall of the board is open".split(), "Please contact Mr. Peter Hansen about the report ."
+    for n in range(190, 204):
+        head = " ".join((fill * 40)[:n]) + " "
+        text = head + said + " " + " ".join(fill * 40)
+        at = len(head) + said.index("Peter")
+        span = ("name", at, at + len("Peter Hansen"))
+        for batch in (1_000_000, at + 6):
+            monkeypatch.setattr(pii, "BATCH", batch)
+            assert span in pii.added_spans(chain, [text + "\n" + said])[0]
+    monkeypatch.setattr(pii, "BATCH", 7)
+    lines = ["", "Dear Mrs Anna Keller , thank you .", "", "Fax: 030 901820", ""]
+    text, found, at = "\n".join(lines), [], 0
+    for line in lines:
+        found += [(k, s + at, e + at) for k, s, e in pii.added_spans(chain, [line])[0]]
+        at += len(line) + 1
+    assert pii.added_spans(chain, [text])[0] == found and found
+
+
 def test_targets(spark):
     rng = random.Random(9)
     for _ in range(3):
