@@ -1,14 +1,17 @@
 """Toxicity by compression distance: two zstandard dictionaries, calibrated window lengths.
 
-One dictionary holds toxic text, the other ordinary text. A window is a word
-between two copies of a fixed carrier that both dictionaries hold, so that the
-block is compressed however short the word is; what remains is what the
-dictionary saves on the word itself. The difference of the two lengths, counted
-over thresholds along the whole text, goes into a logistic calibration.
-
-Text of a toxic document is mostly ordinary: its windows enter the toxic
-dictionary only where their words or word beginnings lean significantly to
-toxic documents (log-likelihood ratio over distinct texts).
+Text is compressed in windows of fixed length, one from every word border on. Each
+window is compressed with a dictionary of toxic text and with one of ordinary
+text; the bytes that the toxic one saves are its gain. The shares of a document's
+windows with gains over several thresholds go into a logistic calibration.
+
+Most text of a toxic document is ordinary. Which of its passages are toxic is
+found by compression too: the documents are dealt into parts, each part fills a
+dictionary with whole texts, and a passage enters the final toxic dictionary if
+the dictionaries of the other parts save more on it, on average against as many
+ordinary ones, than on all but a two-thousandth of held-back ordinary passages. Both
+final dictionaries begin with the same whole ordinary texts, so that ordinary
+windows cost the same under both.
 """
 
 from __future__ import annotations
@@ -26,127 +29,252 @@ from pyspark.sql import functions as F
 
 from quillgate.llm.worker import only, release
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Every run of ASCII signs that are no letters becomes this mark, in dictionaries and windows alike.
+MARK = b"\x01\x02\x03 "
+BORDER = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
+#: Bytes of running text in a window, after the mark that it starts with.
+WINDOW = 10
+#: Stands around every window, and at the end of both dictionaries, so that a block is always worth compressing.
 CARRIER = b"<<[window of text]>>"
-DICTIONARY_BYTES = 16384
-BEGINNINGS = range(3, 11)
-SIGNIFICANT = 30.0  # log-likelihood ratio
-LEAN = 4.0  # times as frequent in toxic documents
-LEVELS = (1, 2, 3, 4, 5)
-#: Most labelled documents of either class that a model is fitted on, and the longest text among them.
-SAMPLE = 4000
-LONGEST = 50_000
+#: Bytes of ordinary text that both dictionaries share, and the most of the passages after it.
+SHARED_BYTES, PASSAGE_BYTES = 131_072, 16_384
+#: Parts of the toxic documents that judge each other's passages, and the most bytes of text in the dictionary of a part.
+PARTS, PART_BYTES = 8, 100_000
+STRICT = 0.9995
+#: Bytes that one dictionary's saving counts at most.
+MOST_SAVED = 4
+#: Pairs of dictionaries whose mean gain is taken.
+PAIRS = 3
+#: Ordinary dictionaries for each toxic one: there is more ordinary text, and their mean is the steadier for it.
+PLAIN = 3
+#: Bytes that one text gives to a dictionary at most, so that many texts, in all their languages, have a share in it.
+SHARE_BYTES = 3000
+LEVELS = (1, 2, 3, 4, 5, 6)
+#: Most labelled documents of either class that a model is fitted on; of a longer text among them the fit reads so many characters from a place chosen by its id.
+SAMPLE = 2000
+LONGEST = 20_000
 THRESHOLD = 0.3
-MEMO = 300_000
-
-
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
-def _grams(text: str) -> set[str]:
-    """Whole words (marked) and beginnings of words."""
-    found = set()
-    for w in set(words(text)):
-        found.add(w + "$")
-        found.update(w[:k] for k in BEGINNINGS if len(w) >= k)
-    return found
-
-
-def _likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
-    def log(k: int, of: int, p: float) -> float:
-        return k * np.log(max(p, 1e-12)) + (of - k) * np.log(max(1 - p, 1e-12))
-
-    p = (a + b) / (n + m)
-    return 2 * (log(a, n, a / n) + log(b, m, b / m) - log(a, n, p) - log(b, m, p))
-
-
-def _dictionary(windows: Counter) -> bytes:
-    """The most frequent windows, the most frequent last (nearest), then the carrier."""
-    chosen, size = [], 0
-    for word, _ in sorted(windows.items(), key=lambda x: (-x[1], x[0])):
-        piece = f" {word} ".encode()
-        size += len(piece)
-        if size > DICTIONARY_BYTES:
-            break
-        chosen.append(piece)
-    return b"".join(reversed(chosen)) + CARRIER
-
-
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    settings = zstandard.ZstdCompressionParameters.from_level(
-        15, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
-        strategy=zstandard.STRATEGY_LAZY2, min_match=5, search_log=5, hash_log=15, chain_log=16, window_log=17,
-    )
-    return zstandard.ZstdCompressor(compression_params=settings, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-
-
-class Gains(dict):
-    """word -> bytes that the toxic dictionary saves over the ordinary one; forgets all at MEMO words."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes) -> None:
-        self.toxic, self.ordinary = _compressor(toxic).compress, _compressor(ordinary).compress
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        window = CARRIER + f" {word} ".encode() + CARRIER
-        value = self[word] = len(self.ordinary(window)) - len(self.toxic(window))
-        return value
-
-    def features(self, text: str | None) -> np.ndarray:
-        found = words(text)
-        z = np.fromiter(map(self.__getitem__, found), dtype=np.float64, count=len(found)) if found else np.zeros(1)
-        over = [(z >= k).sum() for k in LEVELS]
-        return np.array([z.mean(), np.maximum(z - 1, 0).mean(), *(k / len(z) for k in over), *np.log1p(over[1:4])])
+RIDGE = 2e-3
+#: Bytes of text whose windows are held at once.
+CHUNK = 2_000_000
+#: Windows whose gains a worker remembers.
+MEMO = 400_000
+
+
+def marked(text: str | None) -> bytes:
+    """Lower-cased bytes with a mark in front and in place of every word border."""
+    return MARK + BORDER.sub(MARK, (text or "").lower().encode("utf-8", "replace").strip())
+
+
+def windows(text: bytes) -> np.ndarray:
+    """A row of bytes for every mark of ``text`` with something behind it: the mark and WINDOW bytes after it (blanks beyond the end)."""
+    codes = np.frombuffer(text + b" " * WINDOW, dtype=np.uint8)
+    at = np.flatnonzero(codes[: max(0, len(text) - len(MARK))] == MARK[0])
+    return codes[at[:, None] + np.arange(len(MARK) + WINDOW)]
+
+
+def windows_of(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all texts and the number of the text of each."""
+    found = [windows(t) for t in texts]
+    empty = np.zeros((0, len(MARK) + WINDOW), dtype=np.uint8)
+    return np.concatenate([empty, *found]), np.repeat(np.arange(len(found)), [len(w) for w in found])
+
+
+def joined(texts: Sequence[bytes], most: int) -> bytes:
+    """Text of a dictionary: a stretch of each text, ``most`` bytes in all."""
+    return b"".join(t[:SHARE_BYTES] for t in texts)[:most]
+
+
+class Dictionary:
+    """Compressed lengths of windows under one raw-content dictionary."""
+
+    def __init__(self, content: bytes) -> None:
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            9, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+            strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=5, hash_log=17, chain_log=17, window_log=19,
+        )
+        held = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compress = zstandard.ZstdCompressor(compression_params=settings, dict_data=held).multi_compress_to_buffer
+
+    def lengths(self, rows: np.ndarray) -> np.ndarray:
+        edge, out = np.frombuffer(CARRIER, dtype=np.uint8), [np.zeros(0, dtype=np.int64)]
+        for lo in range(0, len(rows), 100_000):
+            part = rows[lo : lo + 100_000]
+            blocks = np.empty((len(part), part.shape[1] + 2 * len(edge)), dtype=np.uint8)
+            blocks[:, : len(edge)] = blocks[:, -len(edge) :] = edge
+            blocks[:, len(edge) : -len(edge)] = part
+            places = np.full((len(part), 2), blocks.shape[1], dtype="<u8")
+            places[:, 0] *= np.arange(len(part), dtype=np.uint64)
+            packed = self.compress(zstandard.BufferWithSegments(blocks.tobytes(), places.tobytes()), threads=1)
+            out.append(np.fromiter((len(packed[i]) for i in range(len(part))), dtype=np.int64, count=len(part)))
+        return np.concatenate(out)
+
+
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and for every row the place of its equal among them."""
+    if not len(rows):
+        return rows, np.zeros(0, dtype=np.int64)
+    keys = np.ascontiguousarray(rows).view(f"S{rows.shape[1]}")[:, 0]  # marked text holds no zero byte
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return rows[first], which
+
+
+class Panel:
+    """Pairs of dictionaries; ``gains`` are the bytes that the toxic ones save over the ordinary ones, per window, on average."""
+
+    def __init__(self, dictionaries: Sequence[tuple[bytes, bytes]]) -> None:
+        self.pairs = [(Dictionary(a), Dictionary(b)) for a, b in dictionaries]
+        self.memo: dict[bytes, float] = {}
+
+    def gains(self, rows: np.ndarray) -> np.ndarray:
+        rows, which = distinct(rows)
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        names = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}")[:, 0].tolist() if len(rows) else []
+        fresh = [i for i, name in enumerate(names) if name not in self.memo]
+        if fresh:
+            part = rows[fresh]
+            gain = sum((b.lengths(part) - a.lengths(part) for a, b in self.pairs), np.zeros(len(part))) / max(1, len(self.pairs))
+            self.memo.update(zip([names[i] for i in fresh], gain.tolist(), strict=True))
+        return np.fromiter(map(self.memo.__getitem__, names), dtype=np.float64, count=len(names))[which]
+
+    def counts(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Per text: different windows, their summed gains, those of a gain at every level; long texts are taken in parts cut at marks."""
+        out = np.zeros((len(texts), 2 + len(LEVELS)))
+        held, owner, size = [], [], 0
+
+        def flush() -> None:
+            cut = [distinct(windows(t))[0] for t in held]
+            gain = self.gains(np.concatenate([windows(b""), *cut]))
+            at = np.repeat(np.array(owner, dtype=np.int64), [len(w) for w in cut])
+            for column, weight in enumerate((None, gain, *(gain >= k for k in LEVELS))):
+                out[:, column] += np.bincount(at, weights=weight, minlength=len(texts))
+            held.clear(), owner.clear()
+
+        for i, text in enumerate(texts):
+            whole, start = marked(text), 0
+            while start < len(whole):
+                cut = whole.find(MARK, start + CHUNK) if len(whole) - start > CHUNK else -1
+                stop = cut if cut >= 0 else len(whole)
+                # The windows before the cut reach beyond it; the mark behind them is blanked, so that it opens none.
+                held.append(whole[start:stop] + whole[stop : stop + WINDOW].replace(MARK[:1], b"\x04"))
+                owner.append(i)
+                size, start = size + stop - start, stop
+                if size >= CHUNK:
+                    flush()
+                    size = 0
+        flush()
+        return out
+
+
+def features(counts: np.ndarray) -> np.ndarray:
+    """Mean gain, and for every level the share of windows and the logarithm of their number."""
+    n = np.maximum(counts[:, :1], 1)
+    return np.concatenate([counts[:, 1:2] / n, counts[:, 2:] / n, np.log1p(counts[:, 2:])], axis=1)
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    toxic: bytes
-    ordinary: bytes
+    dictionaries: tuple[tuple[bytes, bytes], ...]
     mean: tuple
     scale: tuple
     weights: tuple
 
+    def pair(self) -> Panel:
+        return Panel(self.dictionaries)
+
     def scores(self, rows: np.ndarray) -> np.ndarray:
         x = (rows - np.array(self.mean)) / np.array(self.scale)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -50, 50)))
 
 
-def fit(samples: Sequence[tuple[str, int]], prior: float | None = None) -> ToxicModel:
-    """A model from (text, 0/1) rows; ``prior`` is the share of class 1 that the scores are calibrated to."""
-    distinct = list(dict.fromkeys((t or "", int(y)) for t, y in samples))
-    n, m = sum(y for _, y in distinct), sum(1 - y for _, y in distinct)
-    toxic_docs, ordinary_docs, in_toxic, in_ordinary = Counter(), Counter(), Counter(), Counter()
-    for text, y in distinct:
-        (toxic_docs if y else ordinary_docs).update(_grams(text))
-        (in_toxic if y else in_ordinary).update(words(text))
-    leaning = set()
-    if n and m:
-        leaning = {g for g, k in toxic_docs.items() if k >= 5 and k / n > LEAN * (ordinary_docs[g] + 0.5) / m and _likelihood_ratio(k, n, ordinary_docs[g], m) > SIGNIFICANT}
-    leans = lambda w: w + "$" in leaning or any(w[:k] in leaning for k in BEGINNINGS if len(w) >= k)
-    toxic = _dictionary(Counter({w: c for w, c in in_toxic.items() if leans(w)}))
-    ordinary = _dictionary(Counter({w: c for w, c in in_ordinary.items() if not leans(w)}))
-    gains = Gains(toxic, ordinary)
-    x = np.array([gains.features(t) for t, _ in samples]) if samples else np.zeros((1, 7 + 3))
-    y = np.array([int(v) for _, v in samples]) if samples else np.zeros(1)
-    share = y.mean()
-    prior = share if prior is None else prior
-    weight = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
+def toxic_passages(parts: list[list[bytes]], ordinary: list[bytes], calibration: list[bytes]) -> list[Counter]:
+    """For every part of the toxic texts, its windows that the other parts' dictionaries compress well, with how often they occur."""
+    volume = min(PART_BYTES, int(np.median([len(joined(p, PART_BYTES)) for p in parts])))
+    own = [Dictionary(joined(p, volume)) for p in parts]
+    many = max(1, min(PLAIN * len(parts), len(joined(ordinary, PLAIN * PARTS * PART_BYTES)) // max(1, volume)))
+    plain = [Dictionary(joined(ordinary[i::many], volume)) for i in range(many)]
+    ordinary_length = lambda rows: np.mean([j.lengths(rows) for j in plain], axis=0)
+    usual, which = distinct(windows_of(calibration)[0])
+
+    def saved(plain: np.ndarray, judges: list[np.ndarray]) -> np.ndarray:
+        """Mean saving of the judges against the mean ordinary length; copies let a few save very much, so each counts up to MOST_SAVED."""
+        return np.minimum(plain - np.array(judges), MOST_SAVED).mean(axis=0)
+
+    usual_plain, usual_own, found = ordinary_length(usual), [j.lengths(usual) for j in own], []
+    for i, part in enumerate(parts):
+        rows, where = distinct(windows_of(part)[0])
+        least = max(1.0, np.quantile(saved(usual_plain, usual_own[:i] + usual_own[i + 1 :])[which], STRICT)) if len(which) else 1.0
+        good = saved(ordinary_length(rows), [j.lengths(rows) for j in own[:i] + own[i + 1 :]]) >= least
+        often = np.bincount(where, minlength=len(rows))
+        found.append(Counter({rows[k].tobytes(): int(often[k]) for k in np.flatnonzero(good)}))
+    return found
+
+
+def contents(passages: list[Counter], ordinary: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Pairs of a toxic and an ordinary dictionary: both hold the same ordinary text, then toxic passages (the most frequent last) or as many bytes of further ordinary text."""
+    total = sum(passages, Counter())
+    toxic = b"".join(reversed(sorted(total, key=lambda w: (-total[w], w))[: PASSAGE_BYTES // (len(MARK) + WINDOW)]))
+    out = []
+    for i in range(PAIRS):
+        text = joined(ordinary[i::PAIRS], SHARED_BYTES + len(toxic))
+        shared = text[: max(len(text) - len(toxic), len(text) // 2)]
+        out.append((shared + toxic, text))
+    return out
+
+
+def fit(samples: Sequence[tuple[str | None, int]], prior: float | None = None) -> ToxicModel:
+    """A model from (text, 0/1) rows; ``prior`` is the share of class 1 that the scores are calibrated to.
+
+    Rows of one class alone, or fewer than two different toxic texts, give a
+    model that scores every text with the prior.
+    """
+    rng = np.random.default_rng(5)
+    by_class = [sorted({t for t, y in samples if y == k and t}) for k in (0, 1)]
+    plain, toxic = ([marked(c[i]) for i in rng.permutation(len(c))] for c in by_class)
+    texts = {marked(t): t for c in by_class for t in c}
+    half = len(plain) // 2
+    prior = (sum(y for _, y in samples) / max(1, len(samples))) if prior is None else prior
+    prior = min(max(prior, 1e-6), 1 - 1e-6)
+    if len(toxic) < 2 or half < 1:
+        return ToxicModel((), (0.0,) * (1 + 2 * len(LEVELS)), (1.0,) * (1 + 2 * len(LEVELS)), (float(np.log(prior / (1 - prior))), *(0.0,) * (1 + 2 * len(LEVELS))))
+    source, calibration = plain[:half], plain[half:]
+    k = min(PARTS, len(toxic))
+    parts = [toxic[i::k] for i in range(k)]
+    passages = toxic_passages(parts, source, calibration)
+    rows, y = [], []
+    for i in range(k):  # a text's features come from a dictionary without its own passages
+        pair = Panel(contents(passages[:i] + passages[i + 1 :], source))
+        for part, label in ((parts[i], 1), (calibration[i::k], 0)):
+            rows.append(features(pair.counts([texts[t] for t in part])))
+            y += [label] * len(part)
+    x, y = np.concatenate(rows), np.array(y)
+    weight = np.where(y == 1, prior / max(y.mean(), 1e-9), (1 - prior) / max(1 - y.mean(), 1e-9))
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
-    w = np.zeros(z.shape[1])
-    ridge = 2e-3 * np.eye(len(w))
-    for _ in range(40):  # Newton steps
+    w, free = np.zeros(z.shape[1]), np.ones(z.shape[1], dtype=bool)
+    while True:  # no feature may speak against toxicity: those that would are left out, until none is left that does
+        w[:] = 0
+        w[free] = _logistic(z[:, free], y, weight)
+        against = free & (w < 0) & (np.arange(len(w)) > 0)
+        if not against.any():
+            break
+        free &= ~against
+    return ToxicModel(tuple(contents(passages, source)), tuple(mean), tuple(scale), tuple(w))
+
+
+def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a ridge logistic regression, by Newton steps."""
+    w, ridge = np.zeros(z.shape[1]), RIDGE * np.eye(z.shape[1])
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
         gradient = z.T @ (weight * (p - y)) / len(y) + ridge @ w
         curvature = (z * (weight * p * (1 - p))[:, None]).T @ z / len(y) + ridge
         w -= np.linalg.solve(curvature, gradient)
-    return ToxicModel(toxic, ordinary, tuple(mean), tuple(scale), tuple(w))
+    return w
 
 
-_LOADED: dict[ToxicModel, Gains] = {}
+_LOADED: dict[ToxicModel, Panel] = {}
 
 
 def toxicity(model: ToxicModel):
@@ -155,14 +283,13 @@ def toxicity(model: ToxicModel):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         only("toxicity", _LOADED.clear)
-        key = hash(model)
-        if key not in _LOADED:
+        if model not in _LOADED:
             _LOADED.clear()
-            _LOADED[key] = Gains(model.toxic, model.ordinary)
-        gains = _LOADED[key]
+            _LOADED[model] = model.pair()
+        pair = _LOADED[model]
         for texts in batches:
-            rows = [gains.features(t) for t in texts]
-            yield pd.Series(model.scores(np.array(rows)) if rows else [], dtype="float64")
+            found = pair.counts([t if isinstance(t, str) else None for t in texts])
+            yield pd.Series(model.scores(features(found)), dtype="float64")
         release()
 
     return score
@@ -175,22 +302,35 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> ToxicModel:
     """Fit on at most ``sample`` labelled documents of either class, chosen by a hash of the id.
 
-    Rows of the held-out quarter, null labels and texts over ``longest``
-    characters are left out of the fit (scoring leaves nothing out). The share
-    of toxic labels is counted over all labelled rows outside the held-out part.
+    A doc_id counts once: of several labels the highest, of several texts the
+    first in order. Rows of the held-out quarter, null labels, ids and texts are
+    left out of the fit. Of a text over ``longest`` characters the fit reads that
+    many from a place chosen by its id (scoring reads all of every text). The
+    share of toxic labels is counted over all labelled ids outside the held-out
+    part. Empty tables give a model that scores with that share alone.
     """
-    usable = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    usable = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     count = usable.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("k")).first()
     picks = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     picked = picks[0].unionByName(picks[1])  # at most 2 * sample rows of two numbers: broadcast whatever the table's size
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").collect()
-    rows = sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: (r[0], r[1], r[2]))[: 4 * sample]
+    spare = F.length("text") - longest
+    start = F.when(spare > 0, F.pmod(F.xxhash64("doc_id"), spare.cast("long"))).otherwise(0)
+    rows = docs.filter("text IS NOT NULL").select("doc_id", F.substring("text", (start + 1).cast("int"), F.lit(longest)).alias("text"))
+    rows = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = sorted((r.doc_id, r.text, r.y) for r in rows.collect())  # at most 2 * sample rows of ``longest`` characters
     return fit([(t, y) for _, t, y in rows], (count.k / count.n) if count.n else None)
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score and predicted (1 at ``threshold`` or more); the same number of rows, each judged alone."""
-    out = docs.drop("score", "predicted").withColumn("score", toxicity(model)("text"))
+    """``docs`` with score and predicted (1 at ``threshold`` or more); the same number of rows, each judged alone.
+
+    Columns of these names are replaced. Null, empty and wordless texts get the
+    score of no evidence; texts are read whole, however long; repeated rows get
+    equal scores; an empty table gives no rows.
+    """
+    kept = [f"`{c}`" for c in docs.columns if c not in ("score", "predicted")]
+    out = docs.select(*kept, toxicity(model)("text").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
 
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from quillgate.llm import hamming, hnsw, line_dedup, minhash, mixing, packing, pii, token_store, toxicity
 from quillgate.llm.components import components
@@ -248,6 +249,67 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def toxic_samples(bad, n=160):
+    rng = random.Random(3)
+    sound = ["ra", "lo", "mit", "ken", "su", "vor", "tal", "ne", "pi", "gos"]
+    word = lambda: "".join(rng.choice(sound) for _ in range(rng.randint(1, 3)))
+    out = []
+    for i in range(n):
+        words, toxic = [word() for _ in range(rng.randint(60, 200))], i % 4 == 0
+        if toxic:
+            for _ in range(5):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        out.append((" ".join(words) + ".", int(toxic)))
+    return out
+
+
+@pytest.mark.parametrize("bad", [("idiot", "clown", "stupid"), ("zuxqeb", "ywwedjak", "behhux")])
+def test_toxicity_learns_whatever_words_toxic_text_has(bad):
+    rows = toxic_samples(bad)
+    model = toxicity.fit(rows[:120])
+    score = model.scores(toxicity.features(model.pair().counts([t for t, _ in rows[120:]])))
+    assert ((score >= 0.3) == np.array([y == 1 for _, y in rows[120:]])).mean() >= 0.95
+
+
+def test_toxicity_dictionaries_and_lengths():
+    rows = toxic_samples(("zuxqeb", "ywwedjak"))
+    model = toxicity.fit(rows)
+    whole = [toxicity.marked(t) for t, y in rows if not y]
+    for bad, plain in model.dictionaries:
+        assert plain[: len(whole[0])].count(toxicity.MARK) and any(plain.startswith(t) for t in whole) and bad[:2000] == plain[:2000]
+        assert len(bad) == len(plain) and b"zuxqeb" in bad and b"zuxqeb" not in plain
+    text = rows[0][0]
+    panel, found, want = model.pair(), toxicity.windows(toxicity.marked(text)), []
+    for w in sorted({w.tobytes() for w in found}):
+        block, gain = toxicity.CARRIER + w + toxicity.CARRIER, 0
+        for bad, plain in model.dictionaries:
+            size = []
+            for content in (plain, bad):
+                held = zstandard.ZstdCompressionDict(content + toxicity.CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                params = zstandard.ZstdCompressionParameters.from_level(
+                    9, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+                    strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=5, hash_log=17, chain_log=17, window_log=19,
+                )
+                size.append(len(zstandard.ZstdCompressor(compression_params=params, dict_data=held).compress(block)))
+            gain += (size[0] - size[1]) / len(model.dictionaries)
+        want.append(gain)
+    got = panel.counts([text])[0]
+    assert np.allclose(got, [len(want), sum(want), *(sum(g >= k for g in want) for k in toxicity.LEVELS)])
+
+
+def test_toxicity_of_long_texts_does_not_depend_on_parts(monkeypatch):
+    rows = toxic_samples(("zuxqeb", "ywwedjak"), 60)
+    panel = toxicity.fit(rows).pair()
+    texts = [None, "", "... 12", *(t for t, _ in rows[:9])]
+    want = panel.counts(texts)
+    assert (want[:3] == 0).all() and (want[3:, 0] > 30).all()
+    words = "an even and quite uneven sentence of different words that goes on until it is cut into parts"
+    whole = panel.counts([words])
+    monkeypatch.setattr(toxicity, "CHUNK", 40)
+    assert (panel.counts([words]) == whole).all()
+    assert len(panel.counts(texts)) == len(texts)
+
+
 def test_pii_patterns():
     pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     rng = random.Random(8)
