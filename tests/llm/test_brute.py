@@ -291,8 +291,8 @@ def test_toxicity_dictionaries_and_lengths():
                     strategy=zstandard.STRATEGY_LAZY2, min_match=4, search_log=5, hash_log=17, chain_log=17, window_log=19,
                 )
                 size.append(len(zstandard.ZstdCompressor(compression_params=params, dict_data=held).compress(block)))
-            gain += (size[0] - size[1]) / len(model.dictionaries)
-        want.append(gain)
+            gain += size[0] - size[1]
+        want.append(gain / len(model.dictionaries))
     got = panel.counts([text])[0]
     assert np.allclose(got, [len(want), sum(want), *(sum(g >= k for g in want) for k in toxicity.LEVELS)])
 
