@@ -8,7 +8,6 @@ batch go through Viterbi side by side.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can only start where a run of digits does: saying so keeps long runs linear and finds the same spans.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
@@ -53,7 +53,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """Spans of the four fixed kinds in the order of KINDS, then start."""
     found = emails(text)
-    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -162,24 +162,71 @@ LABELS = ("name", "tel", "id", "address")
 TAGS = ("O", *(f"{b}-{k}" for k in LABELS for b in "BI"))
 ROWS = sum(SIZES)
 
-#: The labelled table: spans in brackets, kind first.
-LABELLED = (
-    "Please contact Mr. [name Peter Hansen] about the report .", "Dear Mrs [name Anna Keller] , thank you for the letter .", "Signed by Dr. [name Lucia Moreno] on behalf of the board .",
-    "The patient , Ms. [name Claire Dubois] , was seen on Monday .", "Name: [name Oliver Grant] and the rest of the form is empty .", "Name: [name Maria Lopez]",
-    "Sincerely, [name Thomas Wright]", "Prof. [name Ingrid Berg] will speak in the hall .", "Employee name [name Samuel Ortiz] joined in May .", "Miss [name Emma Clarke] lives at [address 12 Garden Street] .",
-    "Mr. [name Jones] called at noon .", "Dr [name Weber] and Dr [name Rossi] agreed .", "Customer named [name Julia Stein] asked for a refund .", "Contact Mrs. [name Helen O'Neil] for details .",
-    "Call [tel (555) 201-3344] before noon .", "Phone: [tel 555-0199-2231]", "Tel. [tel 020 7946 0958] is answered daily .", "Mobile: [tel 0171 2345678] or fax [tel 0171 2345679] .", "Telephone [tel (212) 555-0147] for help .",
-    "tel: [tel 555 014 7788] and ask for Mr. [name Diaz] .", "Call Dr. [name Novak] on phone [tel 555-2004] now .", "Fax: [tel 030 901820]", "Her phone number is [tel 415-555-0132] at work .",
-    "SSN: [id 078-05-1120]", "Passport no [id X1234567] was issued in Rome .", "His SSN [id 219-09-9999] was on the form .", "Licence number: [id D123-4567-8901]", "Account no. [id 00123456789] is closed .",
-    "IBAN [id DE89370400440532013000] belongs to the firm .", "Passport: [id L8988901C]", "The id number [id AB-123456] is wrong .", "Employee id [id E-20417] and customer id [id C-99120] match .", "Ssn [id 457-55-5462] , passport [id K0012345] .",
-    "She lives at [address 221 Baker Street] with her son .", "Address: [address 10 Downing Street] , second floor .", "Address: [address 1600 Amphitheatre Drive]", "He moved to [address 45 Oak Avenue] in June .", "Send it to [address 7 Mill Road] by Friday .",
-    "Address [address 350 Fifth Ave] is our office .", "They met at [address 19 Station Lane] at noon .", "Visit [address 88 Harbour Rd] for a sample .",
-    "The of and thing was onder to the. Ander on the thonly, is of there", "The meeting of the board was on Monday in the hall .", "Table 4 and figure 12 show the total of 2019 .", "Section 3.2 of chapter 7 covers version 2.0 of the guide .",
-    "Licensed under the Apache License, Version 2.0.", "Copyright 2020 The Authors. All rights reserved.", "In 1999 the total was 4,500 and in 2004 it was 5,120 .", "THIS TEXT IS IN CAPITALS !! AND IT GOES ON !!", "THE ERTION OF!! ATHE!! ANDTH!! ENING,!!",
-    "Der Einch und die Stege, von der achlich heit.", "Lesou eaux de la tion pour les ment. Ouré en vi.", "Bota ciónllmi es que la mente. Osdo el raez.", "token = \"9f86d081884c7d659a2feaa0c55ad015\" in the file .", "See page 14 or call the function at line 20 .",
-    "On 12 May 2020 the price was 19.99 in total .", "Ering and Thon of the anding. Ther is and Onder was to", "Is ndble whst the by for and threea. Ores the oredat the.", "Read the manual , then press the button 3 times .", "| Ander | Thing | Onre | Sting | Ation |",
-    "For&&& the*** was$$$ of%%% in### the&&&", "The number of cases was 312 and the number of days was 14 .", "Home About Contact Login Terms", "Accept all cookies to continue reading this page .", "Click here to subscribe . Share on social media .",
-    "id 7 and id 9 in the list are free .", "It is 40 km from the sea to the city .", "Anew Thest Endor Heation Stanis.", "Key 4465758382889437 in the ring ñtaciónta .", "Errest Errest Errest Errest that the thing", "The thon. Par. Onoi. Tier. The. Edor. Tior, ano the.", "Ing. Is. With. Onst. Thin. Edon. Ation the of", "Atre er the. Lyble. Anrent and to the", "He came by bus and was at home by nine .",
+#: Fillers of the labelled table.
+NAMES = (
+    "Peter Hansen", "Anna Keller", "Lucia Moreno", "Claire Dubois", "Oliver Grant", "Maria Lopez", "Thomas Wright", "Ingrid Berg", "Samuel Ortiz", "Emma Clarke", "Jones", "Weber",
+    "Julia Stein", "Helen O'Neil", "Ravi Patel", "Jean-Paul Girard", "Mary Ann Cole", "Li Wei", "Diaz", "Ahmed Hassan", "Sofia Rossi", "J. R. Miller", "Katarzyna Nowak", "Brown",
+)
+PHONES = ("(555) 201-3344", "555-0199-2231", "020 7946 0958", "0171 2345678", "(212) 555-0147", "555 014 7788", "415-555-0132", "030 901820", "06 759 2217", "(0)30 1234567", "555-2004", "0800 123 456")
+IDS = ("078-05-1120", "X1234567", "219-09-9999", "D123-4567-8901", "00123456789", "DE89370400440532013000", "L8988901C", "AB-123456", "E-20417", "C-99120", "K0012345", "457-55-5462")
+ADDRESSES = ("221 Baker Street", "10 Downing Street", "1600 Amphitheatre Drive", "45 Oak Avenue", "7 Mill Road", "350 Fifth Ave", "19 Station Lane", "88 Harbour Rd", "12 Garden Street", "3 Queen St", "104 West End Lane", "27 Cedar Drive")
+FILLERS = {"name": NAMES, "tel": PHONES, "id": IDS, "address": ADDRESSES}
+#: Sentences with personal data: a kind in brackets stands for a filler of it.
+PERSONAL = (
+    "Please contact Mr. [name] about the report .", "Dear Mrs [name] , thank you for the letter .", "Signed by Dr. [name] on behalf of the board .", "The patient , Ms. [name] , was seen on Monday .",
+    "Name: [name] and the rest of the form is empty .", "Name: [name]", "Sincerely, [name]", "Prof. [name] will speak in the hall .", "Employee name [name] joined in May .", "Miss [name] lives at [address] .",
+    "Mr. [name] called at noon .", "Dr [name] and Dr [name] agreed .", "Customer named [name] asked for a refund .", "Contact Mrs. [name] for details .", "We spoke with Mr [name] yesterday .",
+    "The letter was signed by Ms [name] in June .", "Dear Mr [name] ,", "A note from Dr. [name] reached us .", "Patient: [name]", "Signed: [name]", "He met Mrs. [name] and Mr. [name] at the station .",
+    "Call [tel] before noon .", "Phone: [tel]", "Tel. [tel] is answered daily .", "Mobile: [tel] or fax [tel] .", "Telephone [tel] for help .", "tel: [tel] and ask for Mr. [name] .", "Call Dr. [name] on phone [tel] now .",
+    "Fax: [tel]", "Her phone number is [tel] at work .", "You may call me at [tel] .", "Our telephone is [tel] , open from nine to five .", "Phone [tel]", "His mobile is [tel] .",
+    "SSN: [id]", "Passport no [id] was issued in Rome .", "His SSN [id] was on the form .", "Licence number: [id]", "Account no. [id] is closed .", "IBAN [id] belongs to the firm .", "Passport: [id]",
+    "The id number [id] is wrong .", "Employee id [id] and customer id [id] match .", "Ssn [id] , passport [id] .", "Passport number [id] expired .", "Please quote account number [id] .", "ID: [id]",
+    "She lives at [address] with her son .", "Address: [address] , second floor .", "Address: [address]", "He moved to [address] in June .", "Send it to [address] by Friday .", "Address [address] is our office .",
+    "They met at [address] at noon .", "Visit [address] for a sample .", "The shop at [address] is open .", "I was born at [address] .", "Mrs. [name] , [address]",
+)
+#: Ordinary sentences without any.
+ORDINARY = (
+    "The meeting of the board was on Monday in the hall .", "Table 4 and figure 12 show the total of 2019 .", "Section 3.2 of chapter 7 covers version 2.0 of the guide .",
+    "Licensed under the Apache License, Version 2.0.", "Copyright 2020 The Authors. All rights reserved.", "In 1999 the total was 4,500 and in 2004 it was 5,120 .", "THIS NOTICE IS IN CAPITALS !! PLEASE READ IT NOW !!",
+    "token = \"9f86d081884c7d659a2feaa0c55ad015\" in the file .", "See page 14 or call the function at line 20 .", "On 12 May 2020 the price was 19.99 in total .", "Read the manual , then press the button 3 times .",
+    "| Year | Total | Page | Figure |", "The number of cases was 312 and the number of days was 14 .", "Home About Contact Login Terms", "Accept all cookies to continue reading this page .",
+    "Click here to subscribe . Share on social media .", "id 7 and id 9 in the list are free .", "It is 40 km from the sea to the city .", "He came by bus and was at home by nine .", "The card 4539148803436467 was refused .",
+    "Rain fell. Roads closed. Trains ran late. By noon the storm had passed.", "Winter came early. The river froze and the ferry stopped. Nobody minded.", "Is it true? Was it ever? Of course it is.",
+    "History of the Roman Empire, Volume 2, Chapter 9", "Paris and London are far from Tokyo and Sydney .", "The Prime Minister and the Finance Committee met in Geneva on Tuesday .", "Mix flour , water and salt . Bake for 40 minutes .",
+    "Der Zug nach Berlin war am Montag voll. Die Leute waren müde, und der Abend war kalt.", "Die Sitzung beginnt um neun Uhr im Saal. Alle Mitglieder der Kammer sind eingeladen.", "Das Haus an der Ecke ist alt. Im Garten steht ein Baum.",
+    "Le train de Paris est en retard. La gare est pleine de monde et il pleut.", "Les enfants jouent dans la cour. Une voiture passe, puis tout est calme.", "La réunion de la commission aura lieu jeudi. Elle sera ouverte au public.",
+    "El tren de Madrid llega tarde. La estación está llena y llueve mucho.", "Los niños juegan en la calle. Pasa un coche y todo queda en silencio.", "La reunión del consejo será el jueves. Estará abierta al público.",
+    "Stop. Look. Listen. The bridge is open to all.", "SALE!! BUY NOW!! HURRY!! LAST DAY OF THE YEAR!! STOCK IS LOW!! CALL US!!", "WARNING!! DO NOT OPEN!! DANGER OF DEATH!! KEEP OUT!!", "BREAKING: SENATE PASSES BILL AFTER LONG DEBATE, VOTE WAS 51 TO 49", "Call for papers : the deadline is 30 June .", "The phone rang twice and then it was quiet .", "Her address to the nation was short .", "No name was given in the report of the police .",
+    "The account of the journey fills 300 pages .", "A number of people signed the letter in March .", "The id of each row is an integer from 1 to 500 .", "Street lights in the old town were replaced in 2018 .", "They drive at night and sleep at noon .",
+    "The patient waited at the clinic for 3 hours .", "Dear all , the office is closed on Friday .", "The customer is always right , said the manager .", "Mr. and Mrs. are titles in English .", "The doctor called the ward at noon and left .",
+    "Fax machines were common in 1990 .", "tel and phone are words of 3 and 5 letters .", "Employee of the month : nobody .", "Passport control is on the left . Have your papers ready .", "A licence is needed to fish in the lake .",
+    "Contact with water must be avoided .", "Sincerely yours , the team of the library .", "Sir , the answer is no .", "Prof. and Dr. stand before names .", "Version 10.4.2 fixes 17 faults of version 10.4.1 .",
+    "Go to the corner, turn left at the bank and walk 200 metres .", "&&& *** $$$ ### %%%", "The the the the the the the", "and of and in and to and on and", "0 1 2 3 4 5 6 7 8 9 10", "2020-05-12 14:30:07 INFO started in 350 ms",
+)
+
+
+def labelled_table(times: int = 3) -> tuple[str, ...]:
+    """The training lines, spans in brackets with their kind first: every personal sentence with several fillers, then the ordinary ones."""
+    turn, out = dict.fromkeys(FILLERS, 0), []
+
+    def fill(m: re.Match) -> str:
+        turn[m[1]] += 1
+        return f"[{m[1]} {FILLERS[m[1]][turn[m[1]] * 5 % len(FILLERS[m[1]])]}]"
+
+    for _ in range(times):
+        out += [re.sub(r"\[(\w+)\]", fill, line) for line in PERSONAL]
+    return (*out, *ORDINARY)
+
+
+#: Lines kept from the training, with other names, numbers and sentences, by which spans are measured.
+HELD_OUT = (
+    "Yesterday Mr. [name Viktor Lindqvist] opened the new branch .", "Please ask Mrs [name Doris Okafor] for the key .", "Dr. [name Emil Baumann] , of the clinic , agreed .", "Name: [name Teresa Vidal]", "Dear Ms. [name Hughes] , we regret the delay .",
+    "The form was signed by Prof. [name Alan Tremblay] in Ottawa .", "Miss [name Zoe Marchetti] rents the flat at [address 14 Elm Street] .", "Call [tel (555) 884-1029] after six .", "Tel: [tel 0161 496 0735]", "Our fax is [tel 555-7710] , and the phone is [tel 020 7946 0011] .",
+    "Mobile [tel 0176 5554433] works on weekends .", "Passport no. [id P7654321] is valid until May .", "SSN [id 512-44-9087] was entered twice .", "Account number: [id 00998877665]", "Employee id [id E-77120] has left the firm .", "IBAN: [id FR7630006000011234567890189]",
+    "Address: [address 5 Orchard Road] , ground floor .", "He lives at [address 301 Maple Avenue] near the park .", "Please send the parcel to [address 62 Church Lane] today .", "Licence no [id G882-1190-4471] belongs to Mr. [name Farouk Aziz] .",
+    "The concert begins at eight in the town hall .", "Snow fell on Oslo. Schools closed. Buses stayed in the depot.", "Figure 3 on page 21 shows 4 of the 12 cases .", "The committee of the Northern Region met in Leeds on Thursday .", "Open the door , count to 10 and call the lift .",
+    "Die Brücke über den Fluss wird im Sommer gesperrt. Der Umweg ist lang.", "Le marché du village ouvre à huit heures. Il y a du pain et des fleurs.", "El puente sobre el río se cierra en verano. La gente protesta.", "Chapter 12 . The Return of the Fleet", "The address of the president lasted 50 minutes .",
+    "In 2011 the street was paved and 40 trees were planted .", "A name is missing on line 6 of the table .", "Press 1 for English or 2 for Spanish .", "The doctor said the account was closed in 2015 .", "Read more : Terms of Service , Privacy Policy , Contact",
 )
 
 
@@ -246,9 +293,9 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(labelled: tuple[str, ...] = LABELLED, steps: int = 150, rate: float = 0.1, ridge: float = 0.02) -> Chain:
+def train(labelled: tuple[str, ...] | None = None, steps: int = 150, rate: float = 0.1, ridge: float = 0.02) -> Chain:
     """Maximum likelihood with Gaussian weights: forward-backward over all lines at once, Adam steps. Deterministic."""
-    parsed = [parse_labelled(x) for x in labelled]
+    parsed = [parse_labelled(x) for x in labelled or labelled_table()]
     most, k = max(len(t) for _, t in parsed), len(TAGS)
     feature = np.full((len(parsed), most, len(SIZES)), ROWS)  # row ROWS has weight 0
     gold = np.full((len(parsed), most), -1)
@@ -294,6 +341,19 @@ def train(labelled: tuple[str, ...] = LABELLED, steps: int = 150, rate: float =
     return Chain(*theta)
 
 
+#: What a span of a kind must look like: names are up to five words of letters and the marks of names, with stops behind initials and short titles only; all else holds a digit.
+NAME = re.compile(r"[^\W\d_]['’.\-\s\w]*")
+
+
+def plausible(kind: str, text: str) -> bool:
+    """Whether the text of a span can be of its kind at all."""
+    digit = any("0" <= c <= "9" for c in text)
+    if kind != "name":
+        return digit
+    words = text.split()
+    return bool(NAME.fullmatch(text)) and not digit and len(words) <= 5 and all(len(w) <= 4 for w in words[:-1] if w.endswith("."))
+
+
 #: Code points decoded in one batch; a longer line is a batch of its own.
 BATCH = 1_000_000
 
@@ -331,6 +391,8 @@ def added_spans(chain: Chain, texts: list[str]) -> list[list[Span]]:
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         borders = np.cumsum([0, *(len(t) + 1 for _, _, t in queue)])
         for kind, start, end in chain_spans(chain, codes):
+            if not plausible(kind, joined[start:end]):
+                continue
             n = int(np.searchsorted(borders, start, side="right")) - 1
             i, shift, _ = queue[n]
             out[i].append((kind, start - int(borders[n]) + shift, end - int(borders[n]) + shift))
@@ -366,9 +428,10 @@ def joined(spans: list[Span]) -> str:
 def find_personal_data(docs: DataFrame, chain: Chain) -> DataFrame:
     """Per document: base spans (fixed patterns) and added spans (the chain), as text ``kind:start:end,...``.
 
-    Null texts count as empty and have no spans; repeated rows are treated
-    alike; columns besides doc_id and text are ignored; an empty table gives no
-    rows. An added span that overlaps a base span of its text is dropped.
+    Null texts count as empty and have no spans; texts are searched whole,
+    however long; repeated rows are treated alike; columns besides doc_id and
+    text are ignored; an empty table gives no rows. An added span that overlaps
+    a base span of its text is dropped.
     """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -390,5 +453,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", *counts, "sha2(base, 256) AS base_sha256", "concat_ws(',', nullif(base, ''), nullif(added, '')) AS spans")
 
 
-def base_digest(text: str | None) -> str:
-    return hashlib.sha256(joined(base_spans(text or "")).encode()).hexdigest()
+def quality(chain: Chain, lines: tuple[str, ...] = HELD_OUT) -> tuple[float, float]:
+    """Precision and recall of whole spans (kind, start and end) on labelled lines."""
+    found, right, there = 0, 0, 0
+    for line in lines:
+        text, _ = parse_labelled(line)
+        got = [(k, text[a:b]) for k, a, b in added_spans(chain, [text])[0]]
+        want = re.findall(r"\[(\w+) ([^\]]+)\]", line)
+        found, right, there = found + len(got), right + sum(x in want for x in got), there + len(want)
+    return right / max(1, found), right / max(1, there)
