@@ -3,8 +3,8 @@
 Documents longer than a sequence are cut; whole-length pieces fill sequences of
 their own. All other pieces are dealt into shards of bounded size, and each
 shard is evolved on several islands at once. A crossover puts whole well-filled
-bins of one parent into the other, drops the bins that held the same pieces, and
-best-fits what was displaced. Between epochs each island sends its best to the
+bins of one parent into the other, drops the bins that held the same pieces,
+lets the displaced take the places of shorter pieces and best-fits the rest. Between epochs each island sends its best to the
 next. The best of a shard's islands becomes its sequences.
 """
 
@@ -27,8 +27,10 @@ CAPACITY = 1024
 SHARD = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
+GENERATIONS = 16
 POPULATION = 4
+#: Most bins that a crossover injects, and that it dissolves as poor and as random ones; passes of displaced items over shorter ones.
+INJECTED, DISSOLVED, SWAP_TURNS = 32, 8, 3
 
 # --- the genetic algorithm ---------------------------------------------------
 
@@ -70,28 +72,82 @@ def _compact(assign: np.ndarray) -> np.ndarray:
     return np.unique(assign, return_inverse=True)[1].astype(np.int32)
 
 
+def swap_in(out: list[int], child: np.ndarray, fill: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
+    """Displaced items take the places of shorter ones, each where the bin ends up fullest; returns what is displaced then.
+
+    Items without a place have -1 in ``child``; changes child and fill.
+    """
+    placed = np.flatnonzero(child >= 0)
+    size = lengths[placed]
+    most = capacity - fill[child[placed]] + size  # the longest item that fits in place of this one
+    for _ in range(SWAP_TURNS):
+        moved = False
+        out.sort(key=lambda i: (-lengths[i], i))
+        for k, item in enumerate(out):
+            n = lengths[item]
+            left = np.where((size < n) & (most >= n), most - n, capacity + 1)
+            at = int(left.argmin()) if len(left) else 0
+            if not len(left) or left[at] > capacity:
+                continue
+            home = child[placed[at]]
+            fill[home] += n - size[at]
+            child[item], child[placed[at]] = home, -1
+            out[k], placed[at], size[at] = int(placed[at]), item, n
+            same = child[placed] == home
+            most[same] = capacity - fill[home] + size[same]
+            moved = True
+        if not moved:
+            break
+    return out
+
+
 def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """A child of ``a`` with a random half of the well-filled bins of ``b``; a few poor bins are dissolved too."""
+    """A child of ``a`` with some well-filled whole bins of ``b``.
+
+    Bins of ``a`` that hold the same items go, as do a few poor and a few random
+    ones. What they displace first takes the places of shorter items where that
+    fills a bin better; the rest is best-fitted.
+    """
     fill_b = np.bincount(b, weights=lengths)
-    good = np.flatnonzero(fill_b >= 0.99 * capacity)
+    good = rng.permutation(np.flatnonzero(fill_b >= 0.99 * capacity))
     injected = np.zeros(len(fill_b), dtype=bool)
-    injected[good[rng.random(len(good)) < 0.5]] = True
+    injected[good[: min((len(good) + 1) // 2, INJECTED)]] = True
     taken = injected[b]
     fill_a = np.bincount(a, weights=lengths)
     gone = np.zeros(len(fill_a), dtype=bool)
     gone[a[taken]] = True
-    gone[np.argsort(fill_a, kind="stable")[: max(1, len(fill_a) // 50)]] = True
+    few = min(max(1, len(fill_a) // 20), DISSOLVED)
+    gone[np.argsort(fill_a, kind="stable")[:few]] = True
+    gone[rng.integers(0, len(fill_a), few)] = True
     displaced = gone[a] & ~taken
     child = np.where(taken, len(fill_a) + b, a)
-    kept = ~displaced
-    child[kept] = _compact(child[kept])
-    fill = np.bincount(child[kept], weights=lengths[kept]).astype(np.int64).tolist() if kept.any() else []
-    order = np.flatnonzero(displaced)
-    order = order[np.argsort(-lengths[order], kind="stable")]
-    best_fit(order.tolist(), lengths.tolist(), child, fill, capacity)
+    child[~displaced] = _compact(child[~displaced])
+    child[displaced] = -1
+    fill = np.bincount(child[~displaced], weights=lengths[~displaced]).astype(np.int64)
+    rest = swap_in(np.flatnonzero(displaced).tolist(), child, fill, lengths, capacity)
+    bins = fill.tolist()
+    best_fit(sorted(rest, key=lambda i: (-lengths[i], i)), lengths.tolist(), child, bins, capacity)
     return _compact(child)
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can go below.
+
+    For every threshold t up to half a bin: items over capacity - t are alone,
+    other items over half are alone among themselves, and items of t or more
+    fill what these leave.
+    """
+    order = np.sort(lengths)
+    sums = np.r_[0, np.cumsum(order)]
+    half = np.searchsorted(order, capacity // 2, side="right")
+    best = -(-int(sums[-1]) // capacity)
+    for t in np.unique(order[:half]):
+        first, alone = np.searchsorted(order, t), np.searchsorted(order, capacity - t, side="right")
+        spare = (alone - half) * capacity - (sums[alone] - sums[half])
+        best = max(best, len(order) - half + max(0, -(-int(sums[half] - sums[first] - spare) // capacity)))
+    return int(best)
+
+
 def founders(lengths: np.ndarray, capacity: int, size: int, rng: np.random.Generator) -> list[np.ndarray]:
     """Best-fit decreasing, and best-fit in blurred decreasing orders."""
     plain, out = lengths.tolist(), []
@@ -105,7 +161,7 @@ def founders(lengths: np.ndarray, capacity: int, size: int, rng: np.random.Gener
 
 def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, rng: np.random.Generator) -> list[np.ndarray]:
     """The population after some generations, best first; stops where no packing can have fewer bins."""
-    least = -(-int(lengths.sum()) // capacity)
+    least = least_bins(lengths, capacity)
     ranked = sorted(population, key=lambda x: fitness(x, lengths))
     for _ in range(generations):
         if fitness(ranked[0], lengths)[0] <= least or len(ranked) < 2:
@@ -153,7 +209,8 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS, path: str | None = None, end: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are the end id alone, one piece. Repeated rows are
+    Null and empty texts are the end id alone, one piece; texts are taken whole,
+    however long. Repeated rows are
     packed as documents of their own. A document over ``capacity`` ids is cut
     into pieces of that length, its first piece taking the remainder. Columns
     besides doc_id and text are ignored; an empty table gives no rows. Shards

@@ -197,9 +197,53 @@ def test_token_query(spark):
         start += len(ids)
 
 
-def test_packing_is_tight(spark):
-    rows = QUERIES["op8_packing"](spark, SF).collect()
-    assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 1024) + 3
+def test_packing_query(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["a", "word", "longer", "Sprache", "été", "日本", "\n", "  ", "1234", "don't"]
+    rows = [(i * 3, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 30, 300, 1023, 2500])))) for i in range(120)] + [(1, None), (2, ""), (4, "a" * 9000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    library = Encoder(default_path()).tokenizer
+    for sf in (SF, str(tmp_path)):
+        found, places = {}, {}
+        for r in QUERIES["op8_packing"](spark, sf).collect():
+            found.setdefault(r.doc_id, {})[r.piece] = (r.start, r.length, r.ids_crc32)
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+            ids = np.array([*library.encode(d.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+            pieces, start = [found[d.doc_id][i] for i in range(len(found[d.doc_id]))], 0
+            for at, length, crc in pieces:
+                assert at == start and 0 < length <= 1024 and crc == zlib.crc32(ids[at : at + length].tobytes())
+                start += length
+            assert start == len(ids) and (len(pieces) == 1 if len(ids) <= 1024 else all(n == 1024 for _, n, _ in pieces[1:]))
+        for inside in places.values():
+            ends = [0]
+            for offset, length in sorted(inside):
+                assert offset == ends[-1]
+                ends.append(offset + length)
+            assert ends[-1] <= 1024
+        total = sum(n for d in found.values() for _, n, _ in d.values())
+        assert len(places) <= -(-total // 1024) + 3
+
+
+def test_genetic_packing_beats_best_fit_on_hard_lengths():
+    rng = np.random.default_rng(2)
+    first = rng.integers(390, 500, 80)
+    second = rng.integers(260, 500, 80).clip(max=1024 - first - 256)
+    threes = rng.permutation(np.r_[first, second, 1024 - first - second])  # 80 full bins exist
+    for lengths, gain in ((threes, 4), (rng.integers(300, 601, 2000), 12)):
+        first = packing.founders(lengths, 1024, 4, rng)
+        plain, best = packing.fitness(first[0], lengths)[0], packing.fitness(packing.evolve(lengths, first, 1024, 32, rng)[0], lengths)[0]
+        assert packing.least_bins(lengths, 1024) <= best <= plain - gain
+
+
+def test_least_bins():
+    from itertools import product
+
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        lengths = rng.integers(1, 11, 6)
+        fewest = min(len(set(a)) for a in product(range(6), repeat=6) if np.bincount(a, weights=lengths).max() <= 10)
+        assert packing.least_bins(lengths, 10) <= fewest
 
 
 def test_genetic_packing_never_loses_items():
