@@ -250,15 +250,22 @@ def _by_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _across(docs: DataFrame, open_buckets: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Links (a, b) that join the components of pairs of one bucket which are still apart.
 
-    A bucket is cut into blocks, and every pair of blocks is compared by itself,
-    so no task holds more than two blocks whatever the bucket's size. Sketches
+    A bucket is cut into blocks: those of its largest component, whose members
+    need no comparison with each other, and those of all the rest. Every block of
+    the rest is compared with every block by itself, so no task holds more than
+    two blocks whatever the bucket's size, and a stray class costs its bucket one
+    copy, not one for each of its blocks. Sketches
     say which classes a comparison needs; only their sets are brought to it, and
     it returns no more than a spanning forest of its links.
     """
-    sizes = open_buckets.groupBy("band", "key").agg(F.count("*").alias("c"))
-    rows = open_buckets.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    counts = open_buckets.groupBy("band", "key", "label").agg(F.count("*").alias("k"))
+    sizes = counts.groupBy("band", "key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("c"))
+    few, many = F.ceil((F.col("c") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("most") / BLOCK).cast("int")
+    sizes = sizes.select("band", "key", "main", few.alias("few"), many.alias("many"))
+    rows = open_buckets.join(sizes, ["band", "key"])
+    deal, inside = lambda n: F.pmod(F.xxhash64("node"), F.col(n).cast("long")).cast("int"), F.col("label") == F.col("main")
+    rows = rows.withColumn("own", F.when(inside, F.col("few") + deal("many")).otherwise(deal("few")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("band", "key", "i", "j", "own", "node", "label")
     sketch = classes.select("node", "n", "b0", "b1", "b2", "b3", "bands")
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
