@@ -4,7 +4,7 @@ Vectors are dealt into shards by label; each shard gets a graph, and every shard
 of a label is searched with the vectors of every other (and its own). Searches
 run side by side: the beams of many queries advance together in array steps. A
 beam that is full of links is widened, and all beams are widened until an audit
-against brute force finds its share of links. Pairs are verified by cosine in
+of random queries against brute force finds their links. Pairs are verified by cosine in
 double precision; components are joined by contraction.
 """
 
@@ -26,7 +26,8 @@ SHARD = 8192
 DEGREE = 16
 BEAM = 48
 RECALL = 0.995
-AUDIT = 64
+#: Audited queries are drawn by the AUDIT until AUDIT_LINKED with links are seen, AUDIT_MOST at most.
+AUDIT, AUDIT_LINKED, AUDIT_MOST = 64, 128, 1024
 QUERIES = 256
 #: Single-precision slack of the search; verification is in double precision.
 SLACK = 1e-4
@@ -200,30 +201,41 @@ def unit_vectors(vectors: np.ndarray) -> np.ndarray:
 def search(graph: Graph, nodes: np.ndarray, queries: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """Verified (query, node) pairs; ``nodes`` and ``queries`` are the vectors in double precision.
 
-    A sample of the queries, half of them ones with links, is searched by brute
-    force; all beams are widened until RECALL of its links are found.
+    Queries drawn at random, whatever was found for them, are also answered by
+    brute force until AUDIT_LINKED of them have links (or AUDIT_MOST are done);
+    all beams are widened until the mean share of a query's links that is found
+    reaches RECALL. Each audited query counts alike, however many links it has.
     """
     unit, beam = unit_vectors(queries), BEAM
-    rng = np.random.default_rng(11)
-    length = np.linalg.norm(nodes, axis=1)
+    length, own = np.linalg.norm(nodes, axis=1), np.linalg.norm(queries, axis=1)
     while True:
         q, x = graph.linked(unit, cosine - SLACK, beam)
         exact = np.zeros(len(q))
         for lo in range(0, len(q), 100_000):
             a, b = q[lo : lo + 100_000], x[lo : lo + 100_000]
-            exact[lo : lo + 100_000] = np.einsum("nd,nd->n", queries[a], nodes[b]) / (np.linalg.norm(queries[a], axis=1) * length[b])
+            exact[lo : lo + 100_000] = np.einsum("nd,nd->n", queries[a], nodes[b]) / (own[a] * length[b])
         q, x = q[exact >= cosine], x[exact >= cosine]
-        with_links = np.unique(q)
-        audit = np.unique(np.r_[rng.permutation(len(queries))[:AUDIT], rng.permutation(with_links)[:AUDIT]])
-        truth = queries[audit] @ nodes.T / (np.linalg.norm(queries[audit], axis=1)[:, None] * length[None, :]) >= cosine
-        mine = np.zeros(truth.shape, dtype=bool)
-        asked = np.isin(q, audit)
-        mine[np.searchsorted(audit, q[asked]), x[asked]] = True
-        if truth.sum() == 0 or (truth & mine).sum() >= RECALL * truth.sum() or beam >= len(nodes):
+        if beam >= len(nodes) or audited(nodes, queries, length, own, q, x, cosine) >= RECALL:
             return q, x
         beam *= 2
 
 
+def audited(nodes: np.ndarray, queries: np.ndarray, length: np.ndarray, own: np.ndarray, q: np.ndarray, x: np.ndarray, cosine: float) -> float:
+    """The mean share of its links that a random query with links found; 1 if no audited query has any."""
+    order, shares = np.random.default_rng(11).permutation(len(queries))[:AUDIT_MOST], []
+    for lo in range(0, len(order), AUDIT):
+        sample = np.sort(order[lo : lo + AUDIT])
+        truth = queries[sample] @ nodes.T / (own[sample][:, None] * length[None, :]) >= cosine
+        mine = np.zeros(truth.shape, dtype=bool)
+        asked = np.isin(q, sample)
+        mine[np.searchsorted(sample, q[asked]), x[asked]] = True
+        some = truth.any(axis=1)
+        shares += ((truth & mine)[some].sum(axis=1) / truth[some].sum(axis=1)).tolist()
+        if len(shares) >= AUDIT_LINKED:
+            break
+    return float(np.mean(shares)) if shares else 1.0
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of each node's component under links (a, b)."""
     root = np.arange(n)
@@ -277,7 +289,7 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # Copies are joined before anything is compared; a partial result per task is all that a much-repeated vector shuffles.
     reps = able.groupBy("label", "ka", "kb").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("width").alias("width"), F.first("vec").alias("vec"))
     reps = scratch.put(reps, "reps")
-    sizes = reps.groupBy("label", "width").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+    sizes = scratch.put(reps.groupBy("label", "width").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards")), "sizes")
     dealt = reps.join(sizes, ["label", "width"]).withColumn("shard", F.pmod(F.xxhash64("ka", "kb"), F.col("shards").cast("long")).cast("int"))
     kind = reps.schema["label"].dataType.simpleString()
 
@@ -292,8 +304,12 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     shards = dealt.groupBy("label", "width", "shard").applyInPandas(build, f"label {kind}, width int, shard int, nodes binary, copies binary, vecs binary, graph binary")
     shards = scratch.put(shards, "graphs")
+    # Pairs of shard numbers first, half of a shard's pairs at home with it; the vectors are brought to them by shard, so no task sees a whole label.
+    grid = sizes.select("label", "width", "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("shards") / 2).cast("int"))).alias("step")).withColumn("other", (F.col("shard") + F.col("step")) % F.col("shards"))
+    grid = grid.filter("step = 0 OR 2 * step < shards OR shard < other").select("label", "width", "shard", "other").repartition(slots, "label", "width", "shard")
     asking = shards.select("label", "width", F.col("shard").alias("other"), F.col("nodes").alias("q_nodes"), F.col("copies").alias("q_copies"), F.col("vecs").alias("q_vecs"))
-    pairs = shards.join(asking, ["label", "width"]).filter("shard <= other").repartition(slots, "label", "shard", "other")
+    pairs = grid.join(shards, ["label", "width", "shard"]).join(asking, ["label", "width", "other"]).repartition(slots, "label", "shard", "other")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -324,7 +340,7 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     whole = reps.select("label", "ka", "kb", "node", "copies").join(counts, "node", "left").join(labels.withColumnRenamed("label", "component"), "node", "left")
     whole = whole.select("label", "ka", "kb", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     whole = scratch.put(whole, "whole")
-    scratch.drop("reps", "found")
+    scratch.drop("reps", "sizes", "found")
     out = rows.select("vec_id", "label", "ka", "kb").join(whole, ["label", "ka", "kb"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
