@@ -54,15 +54,15 @@ def boilerplate_lines(lines: DataFrame, scratch: Scratch, min_sites: int = MIN_S
     return clear.unionByName(exact)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, plus n_lines and n_removed.
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``, and two columns more: its lines, and how many of them went.
 
     A site is a ``source`` (null counts as the empty one). Lines are compared
     without surrounding white space; blank lines stay. A document that would be
     left with no non-blank line stays whole, for the stages that look for
-    copies. Null texts stay null with 0 lines; an empty table gives no rows;
-    repeated rows are treated alike; further columns pass through (n_lines and
-    n_removed are replaced).
+    copies. Null texts stay null with 0 lines; a text of any length is cut whole;
+    an empty table gives no rows; repeated rows are treated alike; further
+    columns pass through, but for those called like the two new ``names``.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.put(_lines(docs), "lines")
@@ -71,20 +71,17 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     cuts = found.groupBy("who").agg(F.collect_set("at").alias("cut"))
     cuts = scratch.put(cuts, "cuts")
     scratch.drop("lines", "often", "spread", "keys")
-    cuts = cuts.select(F.col("who.id").alias("__id"), F.col("who.t").alias("__t"), F.col("cut").alias("__cut"))
-    rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    out = docs.withColumns({"__id": F.col("doc_id"), "__t": F.xxhash64("text")}).alias("d")
-    out = out.join(cuts.alias("c"), F.col("d.__id").eqNullSafe(F.col("c.__id")) & (F.col("d.__t") == F.col("c.__t")), "left")
-    out = out.select(*[F.col(f"d.`{c}`").alias(c) for c in rest], F.col("d.text").alias("text"), F.split("d.text", "\n").alias("__l"), F.col("__cut"))
-    filled = F.size(F.filter("__l", lambda x: bare_line(x) != ""))
-    drops = F.size("__cut") < filled
-    out = out.withColumn("__drop", F.when(F.col("__cut").isNotNull(), drops).otherwise(False))
-    text = F.when(F.col("__drop"), F.array_join(F.filter("__l", lambda x, i: ~F.array_contains("__cut", i)), "\n")).otherwise(F.col("text"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(filled)
-    n_removed = F.when(F.col("__drop"), F.size("__cut")).otherwise(0)
-    out = out.select(*[f"`{c}`" for c in rest], text.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[f"`{c}`" for c in order], "n_lines", "n_removed")
+    order = [c for c in docs.columns if c not in names]
+    row = F.struct(*[F.col(f"`{c}`") for c in order]).alias("row")
+    out = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("l")).alias("d")
+    cuts = cuts.select(F.col("who.id").alias("id"), F.col("who.t").alias("t"), "cut").alias("c")
+    out = out.join(cuts, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.t") == F.col("c.t")), "left").select("row", "l", "cut")
+    filled = F.size(F.filter("l", lambda x: bare_line(x) != ""))
+    drops = F.when(F.col("cut").isNotNull(), F.size("cut") < filled).otherwise(False)
+    out = out.select("row", "l", "cut", F.when(F.col("row.text").isNull(), 0).otherwise(filled).alias("filled"), drops.alias("drops"))
+    text = F.when(F.col("drops"), F.array_join(F.filter("l", lambda x, i: ~F.array_contains("cut", i)), "\n")).otherwise(F.col("row.text"))
+    kept = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in order]
+    return out.select(*kept, F.col("filled").cast("long").alias(names[0]), F.when(F.col("drops"), F.size("cut")).otherwise(0).cast("long").alias(names[1]))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +97,9 @@ k AS (SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '',
 b AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 10),
 m AS (SELECT k.*, k.k <> '' AND k.k IN (SELECT k FROM b) AS cut FROM k),
 g AS (SELECT doc_id, count(*) FILTER (k <> '') AS n_lines, count(*) FILTER (cut) AS n,
-             coalesce(sum(length(line)) FILTER (cut), 0) AS gone, coalesce(sum(length(line)) FILTER (k <> ''), 0) AS chars,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS kept
       FROM m GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN gone <= chars * 0.5 THEN n ELSE 0 END)::BIGINT AS n_removed,
-       CASE WHEN n > 0 AND gone <= chars * 0.5 THEN kept ELSE d.text END AS text
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN n < n_lines THEN n ELSE 0 END)::BIGINT AS n_removed,
+       CASE WHEN n > 0 AND n < n_lines THEN kept ELSE d.text END AS text
 FROM documents d LEFT JOIN g USING (doc_id)
 """
