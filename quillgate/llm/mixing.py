@@ -103,10 +103,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The documents of the mix, a row for each copy taken; columns as in ``docs``."""
+    """The documents of the mix, a row for each copy taken; columns as in ``docs``, whatever their names. Else as ``mix``: texts without words may go or stay."""
     _, edges = mix(docs, weights, max_repeat)
     e = edges.select(F.col("source").alias("__s"), "base", "stop")
-    row = F.struct(*docs.columns).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     out = docs.select(row, id_hash(F.col("doc_id")).alias("h"), F.col("source").alias("source"))
     out = out.join(e, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("n", copies(max_repeat).cast("int"))
     return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("row.*")

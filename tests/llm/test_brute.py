@@ -9,8 +9,9 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
-from quillgate.llm import hamming, hnsw, line_dedup, minhash, mixing, packing, pii, token_store, toxicity
+from quillgate.llm import hamming, hnsw, line_dedup, minhash, mixing, packing, pii, token_store, toxicity, url_filter
 from quillgate.llm.components import components
 from quillgate.llm.registry import ORACLES, QUERIES
 from quillgate.llm.scratch import Scratch
@@ -100,12 +101,33 @@ def test_components_of_a_chain(spark):
 def test_components_of_a_long_ascending_chain(spark):
     class Counted(Scratch):
         def put(self, df, name):
-            assert name != "cc_edges30", "a round per member"
+            assert name != "cc_edges21", "more rounds than the logarithm of the chain's length asks for"
             return super().put(df, name)
 
-    links = spark.range(300).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.range(1, 60).selectExpr("1000 AS a", "1000 + id * (CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END) AS b"))
+    links = spark.range(5000).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.range(1, 60).selectExpr("10000 AS a", "10000 + id * (CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END) AS b"))
     got = {r.node: r.label for r in components(links, Counted(spark, "c")).collect()}
-    assert got == {i: 0 for i in range(301)} | {i: 941 for i in [1000, *(1000 + i * (1 if i % 2 == 0 else -1) for i in range(1, 60))]}
+    assert got == {i: 0 for i in range(5001)} | {i: 9941 for i in [10000, *(10000 + i * (1 if i % 2 == 0 else -1) for i in range(1, 60))]}
+
+
+def test_successive_versions_of_a_text_are_one_component(spark):
+    rng = random.Random(1)
+    words, texts = [f"w{i}" for i in range(100)], []
+    for i in range(230):
+        texts.append((i, " ".join(words)))
+        at = rng.randrange(0, 95)
+        words[at : at + 2] = [f"v{i}a", f"v{i}b"]
+    sets = {i: shingle_sets(t) for i, t in texts}
+    want = groups(sets)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"), 85).collect()}
+    assert got == want and len(set(want.values())) < 10
+
+
+def test_a_stray_class_does_not_multiply_its_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:190], *(f"t{i}x{j}" for j in range(3))])) for i in range(40)] + [(99, " ".join([*base[:170], *(f"u{j}" for j in range(25))]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85).collect()}
+    assert got == groups({i: shingle_sets(t) for i, t in rows})
 
 
 def test_personal_data_in_long_lines(monkeypatch):
@@ -286,6 +308,67 @@ def test_graph_links(spark, monkeypatch, shard):
     assert sum(got[i][1] != root[i] for i in got) <= 0.01 * len(x)
 
 
+def test_audit_counts_every_query_alike():
+    rng = np.random.default_rng(3)
+    dense, loose = np.eye(64)[0] + rng.normal(size=(300, 64)) * 0.001, rng.normal(size=(60, 64))
+    nodes = np.concatenate([dense, loose, loose * 2.0])
+    length = np.linalg.norm(nodes, axis=1)
+    links = nodes @ nodes.T / np.outer(length, length) >= 0.98
+    q, x = np.nonzero(links)
+    few = q < 300  # none of the loose pairs is found: 0.1 % of all links, but every link of a quarter of the vectors
+    assert few.mean() > 0.99 and hnsw.audited(nodes, nodes, length, length, q, x, 0.98) == 1
+    assert hnsw.audited(nodes, nodes, length, length, q[few], x[few], 0.98) < 0.9
+
+
+HELD_OUT_URLS = (
+    (0, "https://www.lighthouse.org/history"), (0, "https://news.valley.com/en/8812"), (0, "http://archive.bayside.edu/papers/2011/44"), (0, "https://m.market.example.com/de/19"), (0, "https://blog.forest.net/fr/512.html"),
+    (0, "https://docs.harbour.org/api/v2/"), (0, "https://www.town-council.org/agenda"), (0, "https://garden.example.org/en/3120#top"), (0, "https://radio.example.net/es/77?page=2"), (0, "http://www.bakery.com/recipes/bread"),
+    (1, "http://mega-casino-99.biz/play?id=7&ref=22&x=1"), (1, "http://cheap-pills-77.com/buy?aff=12&src=9"), (1, "http://7x2k9.biz/r?u=1&v=2&z=3"), (1, "http://track.ads-farm.net/p/9912/7716?z=1&y=2"), (1, "http://free-cash-now.biz/get?uid=9988&k=1"),
+    (1, "http://spin-win-888.com/join?code=77&b=5"), (1, "http://lucky-slots.example.com/en/8812"), (1, "http://fast-loans-24.net/apply?amount=900&ref=7"), (1, "http://buy-likes.net/de/771"), (1, "https://popup-bonus.example.net/fr/31"),
+)
+
+
+def test_url_trees_against_plain_python(spark):
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    assert not {u for _, u in HELD_OUT_URLS} & {u for _, u in url_filter.LABELLED}
+    pages = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(HELD_OUT_URLS)], "page_id int, url string")
+    host, path = url_filter.split_url(F.col("url"))
+    features = url_filter.lexical_features(F.col("url"), host, path) | {"suffix": model.suffix_score(host)}
+    rows = {r.page_id: r.asDict() for r in pages.select("page_id", *[v.alias(k) for k, v in features.items()]).collect()}
+
+    def value(node, row):
+        return node if isinstance(node, float) else value(node[2] if row[node[0]] <= node[1] else node[3], row)
+
+    right = 0
+    for r in url_filter.judge_urls(pages, model, rules=()).collect():
+        score = 1 / (1 + np.exp(-model.base - sum(value(t, rows[r.page_id]) for t in model.trees)))
+        assert abs(score - r.score) < 1e-12 and r.verdict == ("block" if score >= 0.5 else "allow")
+        right += (r.verdict == "block") == (HELD_OUT_URLS[r.page_id][0] == 1)
+    assert right >= 17 and rows[0]["depth"] == 1 and rows[10]["parameters"] == 3 and rows[10]["host_hyphens"] == 2
+
+
+def test_first_url_tree_is_the_best_split(spark):
+    labelled = [(f"http://{'x' * (i % 7 + 3)}.org/{'a/' * (i % 5)}p{'9' * (i * 3 % 4)}", int(i % 5 >= 3 or i % 7 == 6)) for i in range(70)]
+    frame = spark.createDataFrame(labelled, "url string, label int")
+    model = url_filter.train(frame, trees=1, depth=1, bins=64)
+    host, path = url_filter.split_url(F.col("url"))
+    features = url_filter.lexical_features(F.col("url"), host, path) | {"suffix": model.suffix_score(host)}
+    rows = [r.asDict() for r in frame.select("label", *[v.alias(k) for k, v in features.items()]).collect()]
+    p = 1 / (1 + np.exp(-model.base))
+    g, w = np.array([r["label"] - p for r in rows]), np.full(len(rows), p * (1 - p))
+    best = max(
+        ((g[m].sum() ** 2 / (w[m].sum() + 1) + g[~m].sum() ** 2 / (w[~m].sum() + 1)), k, float(cut))
+        for k in features
+        for values in [np.array([r[k] for r in rows])]
+        for cut in np.unique(values)[:-1]
+        for m in [values <= cut]
+    )
+    name, cut, left, right = model.trees[0]
+    m = np.array([r[name] for r in rows]) <= cut
+    gain = g[m].sum() ** 2 / (w[m].sum() + 1) + g[~m].sum() ** 2 / (w[~m].sum() + 1)
+    assert abs(gain - best[0]) < 1e-9 and abs(left - 0.3 * g[m].sum() / (w[m].sum() + 1)) < 1e-12 and abs(right - 0.3 * g[~m].sum() / (w[~m].sum() + 1)) < 1e-12
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

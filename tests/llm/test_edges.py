@@ -126,3 +126,40 @@ def test_hamming(spark):
     assert [(r.rank, r.id, r.distance) for r in rows] == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
     assert hamming.top_k(codes.limit(0), codes.limit(0)).count() == 0
     assert hamming.top_k(codes, codes.filter("id = 0"), k=50).count() == 7
+
+
+ODD = "doc_id bigint, text string, source string, lang string, n_chars int, n_lines int, n_removed int, score double, predicted int, `a.b` string, `row` string, `h` string, `cut` string"
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    boiler = "the same line on every site of them all"
+    rows = [(i, None if i == 1 else "" if i == 2 else f"own text number {i} of some length here\n{boiler}", f"s{i}" if i != 3 else None, "en", 7, -5, -6, 0.25, 9, f"dot {i}", "r", "h", "c") for i in range(14)]
+    rows += [rows[4], (None, *rows[5][1:]), (50, "word " * 40_000, *rows[5][2:])]
+    docs = spark.createDataFrame(rows, ODD)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, "/root/testdata/sf0.001")
+            got = out.collect()
+            if name == "packing":
+                assert {r.doc_id for r in got} == {r.doc_id for r in frame.collect()}
+                continue
+            assert out.schema.names == frame.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in frame.schema]
+            assert all((r.n_lines, r.n_removed, r.score, r.predicted, r["a.b"][:4], r.h, r.cut) == (-5, -6, 0.25, 9, "dot ", "h", "c") for r in got)
+            if name == "line_dedup" and got:
+                assert len(got) == len(rows) and {r.n_chars for r in got if r.text and boiler not in r.text and r.doc_id != 50} == {len("own text number 5 of some length here"), len("own text number 11 of some length here")}
+                assert all(r.n_chars == 7 for r in got if r.doc_id in (1, 2, 50)) and not any(boiler in (r.text or "") for r in got)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillgate.llm.scratch import scratch_root
+
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
