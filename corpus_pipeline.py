@@ -6,6 +6,9 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,46 +17,81 @@ from quillgate.llm.minhash import keep_one
 from quillgate.llm.mixing import mixed_documents
 from quillgate.llm.packing import pack_documents
 from quillgate.llm.scratch import Scratch
-from quillgate.llm.toxicity import score_documents, train
+from quillgate.llm.toxicity import THRESHOLD, toxicity, train
 
 
-#: Rows of one Arrow batch while the pipeline runs: whole texts pass through Python workers, and batches bound what they and the executors hold.
+#: Rows of one Arrow batch while a stage works on whole texts in Python: batches bound what workers and executors hold.
 BATCH_ROWS = 2000
 
 
-def _bounded(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for the jobs that run inside; the session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not call toxic."""
-    _bounded(spark)
+    """Documents that the compression classifier does not call toxic.
+
+    Rows are judged one by one by their whole texts, so repeated rows stay or go
+    together. Null, empty and wordless texts get the score of no evidence. No
+    labels for a class: the share of toxic labels decides for all. Columns of
+    any names pass unchanged; an empty table gives none.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs, model).filter("predicted = 0").select(*docs.columns)
+    return docs.filter(toxicity(model)(F.col("text")) < THRESHOLD)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that many sites share."""
-    out = dedup_lines(docs)
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    """Every document, without the lines that many sites share; ``n_chars`` follows where lines went.
+
+    Null, empty and blank texts stay as they are, as do texts of nothing but
+    shared lines; repeated rows are treated alike; texts are cut whole. Other
+    columns of any names pass unchanged; an empty table gives none.
+    """
+    lines, gone = "n_lines of this stage", "n_removed of this stage"
+    out = dedup_lines(docs, names=(lines, gone))
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    changed = lambda: F.when(F.col(f"`{gone}`") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select(*[changed() if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    _bounded(spark)
-    return keep_one(docs)
+    """One document of each group of near-duplicates, that of the smallest doc_id.
+
+    Null, empty and wordless texts are in no group and stay, as do rows without
+    a doc_id; rows that repeat a doc_id are one document and stay or go
+    together. Texts are compared whole. Columns of any names pass unchanged; an
+    empty table gives none.
+    """
+    with small_batches(spark):
+        return keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, repeated where it takes them more than once."""
+    """The documents that the mix takes, repeated where it takes them more than once.
+
+    A null source is one of its own; texts without words count nothing and are
+    taken as often as their hash says; rows that repeat a doc_id are taken alike.
+    Columns of any names pass unchanged; an empty table gives none.
+    """
     return mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 1024 tokens."""
-    _bounded(spark)
-    return pack_documents(docs)
+    """Pieces of the documents with their places in sequences of 1024 tokens.
+
+    Null and empty texts are the end id alone; repeated rows are packed each for
+    itself; texts of any length are taken whole; an empty table gives no rows.
+    """
+    with small_batches(spark):
+        return pack_documents(docs)
 
 
 STAGES = [
