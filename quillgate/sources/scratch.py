@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder of spark.checkpoint.dir; a local one only in local mode where that is unset, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillgate-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
