@@ -44,7 +44,7 @@ STRICT = 0.9995
 #: Bytes that one dictionary's saving counts at most.
 MOST_SAVED = 4
 #: Pairs of dictionaries whose mean gain is taken.
-PAIRS = 3
+PAIRS = 2
 #: Ordinary dictionaries for each toxic one: there is more ordinary text, and their mean is the steadier for it.
 PLAIN = 3
 #: Bytes that one text gives to a dictionary at most, so that many texts, in all their languages, have a share in it.
@@ -63,13 +63,14 @@ MEMO = 400_000
 
 def marked(text: str | None) -> bytes:
     """Lower-cased bytes with a mark in front and in place of every word border."""
-    return MARK + BORDER.sub(MARK, (text or "").lower().encode("utf-8", "replace").strip())
+    return MARK + BORDER.sub(MARK, (text or "").lower().encode("utf-8", "replace")).removeprefix(MARK)
 
 
-def windows(text: bytes) -> np.ndarray:
-    """A row of bytes for every mark of ``text`` with something behind it: the mark and WINDOW bytes after it (blanks beyond the end)."""
+def windows(text: bytes, own: int | None = None) -> np.ndarray:
+    """A row of bytes for every mark of ``text`` with something behind it, or only of its first ``own`` bytes: the mark and WINDOW bytes after it (blanks beyond the end)."""
     codes = np.frombuffer(text + b" " * WINDOW, dtype=np.uint8)
-    at = np.flatnonzero(codes[: max(0, len(text) - len(MARK))] == MARK[0])
+    last = max(0, len(text) - len(MARK))
+    at = np.flatnonzero(codes[: last if own is None else min(own, last)] == MARK[0])
     return codes[at[:, None] + np.arange(len(MARK) + WINDOW)]
 
 
@@ -144,7 +145,7 @@ class Panel:
         held, owner, size = [], [], 0
 
         def flush() -> None:
-            cut = [distinct(windows(t))[0] for t in held]
+            cut = [distinct(windows(t, n))[0] for t, n in held]
             gain = self.gains(np.concatenate([windows(b""), *cut]))
             at = np.repeat(np.array(owner, dtype=np.int64), [len(w) for w in cut])
             for column, weight in enumerate((None, gain, *(gain >= k for k in LEVELS))):
@@ -156,8 +157,7 @@ class Panel:
             while start < len(whole):
                 cut = whole.find(MARK, start + CHUNK) if len(whole) - start > CHUNK else -1
                 stop = cut if cut >= 0 else len(whole)
-                # The windows before the cut reach beyond it; the mark behind them is blanked, so that it opens none.
-                held.append(whole[start:stop] + whole[stop : stop + WINDOW].replace(MARK[:1], b"\x04"))
+                held.append((whole[start : stop + WINDOW], stop - start))  # the last windows reach beyond the cut
                 owner.append(i)
                 size, start = size + stop - start, stop
                 if size >= CHUNK:
