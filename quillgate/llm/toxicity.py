@@ -9,7 +9,7 @@ Most text of a toxic document is ordinary. Which of its passages are toxic is
 found by compression too: the documents are dealt into parts, each part fills a
 dictionary with whole texts, and a passage enters the final toxic dictionary if
 the dictionaries of the other parts save more on it, on average against as many
-ordinary ones, than on all but a two-thousandth of held-back ordinary passages. Both
+ordinary ones, than on all but a thousandth of held-back ordinary passages. Both
 final dictionaries begin with the same whole ordinary texts, so that ordinary
 windows cost the same under both.
 """
@@ -40,7 +40,7 @@ CARRIER = b"<<[window of text]>>"
 SHARED_BYTES, PASSAGE_BYTES = 131_072, 16_384
 #: Parts of the toxic documents that judge each other's passages, and the most bytes of text in the dictionary of a part.
 PARTS, PART_BYTES = 8, 100_000
-STRICT = 0.9995
+STRICT = 0.999
 #: Bytes that one dictionary's saving counts at most.
 MOST_SAVED = 4
 #: Pairs of dictionaries whose mean gain is taken.
@@ -51,9 +51,11 @@ PLAIN = 3
 SHARE_BYTES = 3000
 LEVELS = (1, 2, 3, 4, 5, 6)
 #: Most labelled documents of either class that a model is fitted on; of a longer text among them the fit reads so many characters from a place chosen by its id.
-SAMPLE = 2000
+SAMPLE = 3000
 LONGEST = 20_000
 THRESHOLD = 0.3
+#: Texts of fewer windows count as this long where gains are set against length, so that an empty text is no extreme.
+SHORT = 100
 RIDGE = 2e-3
 #: Bytes of text whose windows are held at once.
 CHUNK = 2_000_000
@@ -168,9 +170,9 @@ class Panel:
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Mean gain, and for every level the share of windows and the logarithm of their number."""
+    """Mean gain, for every level the share of windows and the logarithm of their number, and that of all windows (SHORT at least)."""
     n = np.maximum(counts[:, :1], 1)
-    return np.concatenate([counts[:, 1:2] / n, counts[:, 2:] / n, np.log1p(counts[:, 2:])], axis=1)
+    return np.concatenate([counts[:, 1:2] / n, counts[:, 2:] / n, np.log1p(counts[:, 2:]), np.log(np.maximum(n, SHORT))], axis=1)
 
 
 @dataclass(frozen=True)
@@ -236,8 +238,9 @@ def fit(samples: Sequence[tuple[str | None, int]], prior: float | None = None) -
     half = len(plain) // 2
     prior = (sum(y for _, y in samples) / max(1, len(samples))) if prior is None else prior
     prior = min(max(prior, 1e-6), 1 - 1e-6)
+    zeros = (0.0,) * features(np.zeros((1, 2 + len(LEVELS)))).shape[1]
     if len(toxic) < 2 or half < 1:
-        return ToxicModel((), (0.0,) * (1 + 2 * len(LEVELS)), (1.0,) * (1 + 2 * len(LEVELS)), (float(np.log(prior / (1 - prior))), *(0.0,) * (1 + 2 * len(LEVELS))))
+        return ToxicModel((), zeros, tuple(1.0 for _ in zeros), (float(np.log(prior / (1 - prior))), *zeros))
     source, calibration = plain[:half], plain[half:]
     k = min(PARTS, len(toxic))
     parts = [toxic[i::k] for i in range(k)]
@@ -253,10 +256,11 @@ def fit(samples: Sequence[tuple[str | None, int]], prior: float | None = None) -
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[np.ones(len(x)), (x - mean) / scale]
     w, free = np.zeros(z.shape[1]), np.ones(z.shape[1], dtype=bool)
-    while True:  # no feature may speak against toxicity: those that would are left out, until none is left that does
+    signed = (np.arange(len(w)) > 0) & (np.arange(len(w)) < len(w) - 1)
+    while True:  # no gain may speak against toxicity: features that would are left out, until none is left that does
         w[:] = 0
         w[free] = _logistic(z[:, free], y, weight)
-        against = free & (w < 0) & (np.arange(len(w)) > 0)
+        against = free & (w < 0) & signed
         if not against.any():
             break
         free &= ~against
