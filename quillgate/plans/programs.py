@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.operators import dedup, geometry, structure
-from quillgate.plans.dialect import DUCK, Dialect
-from quillgate.plans.textual import normal
+from quillgate.operators import dedup, geometry, sequential, structure
+from quillgate.plans.dialect import DUCK, SPARK, Dialect
+from quillgate.plans.textual import audit_body, normal, tampered, verify_chain
 from quillgate.sources import files
 from quillgate.sources.model import compose, read_table, run_sql
 from quillgate.streaming import streams
@@ -277,6 +277,9 @@ ORACLES["src_jsonl"] = compose(f"SELECT audit_id AS id, {DUCK.iso('ts')} AS ts_t
 ORACLES["src_msg"] = "SELECT doc_id AS file_id, CAST(NULL AS BIGINT) AS page, CAST(NULL AS VARCHAR) AS text, 'unreadable: ValueError' AS error FROM documents"
 
 
+#: Requests a user may make within the window, and its seconds.
+MOST, WINDOW_S = 5, 6 * 3600
+
 # --- streams -----------------------------------------------------------------------------
 
 
@@ -287,43 +290,76 @@ def stream_daily(spark, sf_dir):
 
 @query
 def stream_rate_limit(spark, sf_dir):
-    return streams.drain(streams.sliding_log(streams.read_events(spark, sf_dir).filter("event_id <= 4000"), 5, 6 * 3600), "append")
+    return streams.drain(streams.sliding_log(streams.read_events(spark, sf_dir), MOST, WINDOW_S), "append")
 
 
-def _rate_oracle() -> str:
-    from quillgate.plans.textual import rate_limit_sliding
+# Oracles of the sequential operators fold whole logs into lists; the queries keep bounded state.
+_CALLS = "SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_id, event_id % 3 = 0 AS failed FROM events"
+ORACLES["rate_limit_sliding"] = f"""WITH e AS (SELECT user_id, list({{'sec': sec, 'id': event_id, 'ok': false}} ORDER BY sec, event_id) AS l FROM ({_CALLS}) GROUP BY user_id),
+ f AS (SELECT user_id, list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: list_concat(acc, [{{'sec': y[1].sec, 'id': y[1].id,
+   'ok': len(list_filter(acc, lambda k: k.ok AND y[1].sec - k.sec < {WINDOW_S})) < {MOST}}}]), []) AS l FROM e)
+ SELECT user_id, x.id AS event_id, x.ok AS allowed FROM (SELECT user_id, unnest(l) AS x FROM f)"""
+ORACLES["stream_rate_limit"] = ORACLES["rate_limit_sliding"]
+ORACLES["stream_daily"] = "SELECT CAST(ts AS DATE) AS day, user_id, count(*) AS actions FROM events GROUP BY CAST(ts AS DATE), user_id"
 
-    return compose(rate_limit_sliding(DUCK), DUCK)
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_id") % 3 == 0).alias("failed"))
 
-ORACLES["stream_rate_limit"] = _rate_oracle()
-ORACLES["stream_daily"] = "SELECT CAST(ts AS DATE) AS day, user_id, count(*) AS actions FROM events GROUP BY CAST(ts AS DATE), user_id"
+
+@query
+def rate_limit_sliding(spark, sf_dir):
+    return sequential.rate_limited(_calls(spark, sf_dir).drop("failed"), MOST, WINDOW_S)
+
+
+@query
+def circuit_breaker(spark, sf_dir):
+    return sequential.broken_circuits(_calls(spark, sf_dir), 2, 43200)
+
+
+ORACLES["circuit_breaker"] = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS r FROM ({_CALLS})),
+ c AS (SELECT user_id, r, event_id, 'none' AS call, CAST(NULL AS BIGINT) AS opened, CAST(0 AS BIGINT) AS failures FROM e WHERE false
+   UNION ALL SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'start', CAST(NULL AS BIGINT), CAST(0 AS BIGINT) FROM e
+   UNION ALL SELECT e.user_id, e.r, e.event_id,
+     CASE WHEN c.opened IS NOT NULL AND e.sec - c.opened < 43200 THEN 'refused' WHEN e.failed THEN 'failed' ELSE 'ok' END,
+     CASE WHEN c.opened IS NOT NULL AND e.sec - c.opened < 43200 THEN c.opened WHEN NOT e.failed THEN NULL WHEN c.opened IS NOT NULL OR c.failures + 1 >= 2 THEN e.sec END,
+     CASE WHEN c.opened IS NOT NULL AND e.sec - c.opened < 43200 THEN c.failures WHEN NOT e.failed THEN 0 ELSE c.failures + 1 END
+   FROM c JOIN e ON e.user_id = c.user_id AND e.r = c.r + 1)
+ SELECT user_id, event_id || ':' || call AS call, CASE WHEN opened IS NULL THEN 'closed' ELSE 'open' END AS state FROM c WHERE r > 0"""
 
 
-def breaker(d: Dialect) -> str:
-    """A circuit breaker over each user's calls: open after 2 failures in a row, probing again after 12 hours.
-
-    The record of a call holds the state after it (kind), failures (s), the time of opening (e) and the outcome (t).
-    """
-    items = d.listed(d.record(kind="CASE WHEN event_id % 3 = 0 THEN 'bad' ELSE 'good' END", s=f"CAST({d.epoch('ts')} - 1704067200 AS INT)", e="CAST(event_id AS INT)", t="''"), "ts")
-    packed = f"SELECT user_id, {items} AS items FROM (SELECT * FROM events WHERE event_id <= 4000) AS v GROUP BY user_id"
-    last = d.at("acc", d.size("acc"))
-    is_open = f"{d.size('acc')} > 0 AND {last}.kind = 'open'"
-    refused = f"({is_open} AND x.s - {last}.e < 43200)"
-    probing = f"({is_open} AND x.s - {last}.e >= 43200)"
-    before = f"CASE WHEN {d.size('acc')} = 0 THEN 0 ELSE {last}.s END"
-    opens = f"x.kind = 'bad' AND ({probing} OR {before} >= 1)"
-    state = f"CASE WHEN {refused} OR {opens} THEN 'open' ELSE 'closed' END"
-    failures = f"CASE WHEN {refused} THEN {last}.s WHEN x.kind = 'bad' THEN {before} + 1 ELSE 0 END"
-    opened = f"CASE WHEN {refused} THEN {last}.e WHEN {opens} THEN x.s ELSE 0 END"
-    outcome = f"concat(CAST(x.e AS STRING), CASE WHEN {refused} THEN ':refused' WHEN x.kind = 'bad' THEN ':failed' ELSE ':ok' END)"
-    step = d.append("acc", d.single(d.record(kind=state, s=failures, e=opened, t=outcome)))
-    kept = d.fold("items", "[]", "struct<kind:string, s:int, e:int, t:string>", "acc", "x", step)
-    return f"SELECT user_id, item.t AS call, item.kind AS state FROM {d.exploded(f'(SELECT user_id, {kept} AS kept FROM ({packed}) AS a)', 'kept', 'n', 'item')} AS z"
-
-
-QUERIES["circuit_breaker"] = lambda spark, sf_dir: run_sql(spark, sf_dir, breaker)
-ORACLES["circuit_breaker"] = compose(breaker(DUCK), DUCK)
+# --- audit chains ------------------------------------------------------------------------
+
+
+def _audit(d: Dialect) -> str:
+    return f"SELECT batch_id, ts, audit_id, user_id, type, description, target, {audit_body(d)} AS body FROM audit"
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    audit = run_sql(spark, sf_dir, _audit)
+    return audit, sequential.chained(audit.select("batch_id", F.col("ts").alias("at"), "audit_id", "body"))
+
+
+@query
+def chain_append(spark, sf_dir):
+    """The hashes that appending every entry in turn gives."""
+    return _chain(spark, sf_dir)[1].select("batch_id", "audit_id", "previous_hash", "integrity_hash")
+
+
+@query
+def win_hash_chain_verify(spark, sf_dir):
+    """Stored chains, some of them tampered with, recomputed from the stored previous hash."""
+    audit, chain = _chain(spark, sf_dir)
+    stored = audit.join(chain, ["batch_id", "audit_id"])
+    return spark.sql(verify_chain(SPARK, tampered("SELECT * FROM {stored}")), stored=stored)
+
+
+_DUCK_CHAIN = f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ts, audit_id) AS r FROM ({_audit(DUCK)}) AS x),
+ c AS (SELECT *, CAST(NULL AS VARCHAR) AS previous_hash, sha256('|' || body) AS integrity_hash FROM a WHERE r = 1
+   UNION ALL SELECT a.*, c.integrity_hash, sha256(c.integrity_hash || '|' || a.body) FROM c JOIN a ON a.batch_id = c.batch_id AND a.r = c.r + 1)
+ SELECT * FROM c"""
+ORACLES["chain_append"] = compose(f"SELECT batch_id, audit_id, previous_hash, integrity_hash FROM ({_DUCK_CHAIN}) AS k", DUCK)
+ORACLES["win_hash_chain_verify"] = compose(verify_chain(DUCK, tampered(_DUCK_CHAIN)), DUCK)
 
 
 @query

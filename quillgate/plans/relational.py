@@ -144,7 +144,7 @@ simple(
     join_semi_relation="SELECT detection_id, status FROM detection WHERE document_id IN (SELECT document_id FROM document WHERE batch_id % 10 = 3)",
     join_hash_map="""SELECT c.document_id, coalesce(a.k, 0) AS accepted FROM document AS c LEFT JOIN
         (SELECT document_id, count(*) AS k FROM detection WHERE status = 'accepted' GROUP BY document_id) AS a ON c.document_id = a.document_id""",
-    join_theta_contains="""SELECT a.audit_id, f.name FROM (SELECT * FROM audit WHERE audit_id % 5 = 0) AS a JOIN (SELECT DISTINCT target AS name FROM audit) AS f
+    join_theta_contains="""SELECT a.audit_id, f.name FROM audit AS a JOIN (SELECT DISTINCT target AS name FROM audit) AS f
         ON contains(lower(a.target), lower(f.name)) OR contains(lower(a.description), lower(f.name))""",
 )
 
@@ -252,12 +252,12 @@ def agg_case_processing(d):
 def agg_stats_matrix(d):
     return f"""SELECT t.type, {n("coalesce(sum(CASE WHEN x.status = 'accepted' THEN x.k END), 0)")} AS accepted, {n("coalesce(sum(CASE WHEN x.status = 'pending' THEN x.k END), 0)")} AS pending,
         {n("coalesce(sum(CASE WHEN x.status = 'rejected' THEN x.k END), 0)")} AS rejected, {n('coalesce(sum(x.k), 0)')} AS total
-        FROM type_list AS t LEFT JOIN (SELECT type, status, count(*) AS k FROM detection WHERE document_id % 3 = 0 GROUP BY type, status) AS x ON x.type = t.type GROUP BY t.type"""
+        FROM type_list AS t LEFT JOIN (SELECT type, status, count(*) AS k FROM detection GROUP BY type, status) AS x ON x.type = t.type GROUP BY t.type"""
 
 
 @query
 def agg_stats_grouping(d):
-    return "SELECT document_id, type, status, count(*) AS k FROM detection WHERE document_id < 2000 GROUP BY GROUPING SETS ((document_id, type, status), (status), (type), ())"
+    return "SELECT document_id, type, status, count(*) AS k FROM detection GROUP BY GROUPING SETS ((document_id, type, status), (status), (type), ())"
 
 
 @query
@@ -350,7 +350,7 @@ def agg_suite(d):
 
 @query
 def agg_median_stddev(d):
-    return f"SELECT type, median(value) AS median, {half_up('coalesce(stddev_samp(value), 0e0)', 6)} AS stddev, min(value) AS low, max(value) AS high FROM (SELECT type, confidence AS value FROM detection WHERE document_id % 4 = 1) AS x GROUP BY type"
+    return f"SELECT type, median(value) AS median, {half_up('coalesce(stddev_samp(value), 0e0)', 6)} AS stddev, min(value) AS low, max(value) AS high FROM (SELECT type, confidence AS value FROM detection) AS x GROUP BY type"
 
 
 # --- windows and ordering ------------------------------------------------------------
@@ -417,16 +417,16 @@ def next_reference(d):
 
 @query
 def interval_merge(d):
-    spans = "SELECT document_id, page * 7 AS s, page * 7 + CAST(pos_w AS INT) % 9 AS e FROM detection WHERE document_id < 5000"
+    spans = "SELECT document_id, page * 7 AS s, page * 7 + CAST(floor(pos_w) AS INT) % 9 AS e FROM detection"
     flag = "CASE WHEN s <= max(e) OVER (PARTITION BY document_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END"
-    island = "sum(fresh) OVER (PARTITION BY document_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    island = "sum(fresh) OVER (PARTITION BY document_id ORDER BY s, e, fresh DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"  # of equal spans the one that opens an island first
     return f"SELECT document_id, {n('min(s)')} AS s, {n('max(e)')} AS e FROM (SELECT document_id, s, e, {island} AS island FROM (SELECT document_id, s, e, {flag} AS fresh FROM ({spans}) AS a) AS b) AS c GROUP BY document_id, island"
 
 
 @query
 def segments_to_pages(d):
     minute = "CAST(floor(start / 60) AS BIGINT)"
-    seg = "SELECT conv_id, turn, turn * 25 + turn * turn * 2 AS start, concat('[', role, '] ', substring(text, 1, 30)) AS line FROM conversations"
+    seg = "SELECT conv_id, turn, turn * 25 + turn * turn * 2 AS start, concat('[', role, '] ', text) AS line FROM conversations"
     flag = f"CASE WHEN {minute} > lag({minute}) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END"
     isl = "sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     mm = lambda m: f"concat(lpad(CAST({m} AS STRING), 2, '0'), ':00')"
@@ -446,7 +446,7 @@ def union_sources(d):
 
 @query
 def union_propagated(d):
-    return "SELECT detection_id, source, confidence FROM detection WHERE source <> 'entity-propagation' AND document_id % 5 = 0 UNION ALL SELECT detection_id, 'entity-propagation', 85e0 FROM detection WHERE source = 'entity-propagation' AND document_id % 5 = 0"
+    return "SELECT detection_id, source, confidence FROM detection WHERE source <> 'entity-propagation' UNION ALL SELECT detection_id, 'entity-propagation', 85e0 FROM detection WHERE source = 'entity-propagation'"
 
 
 simple(
@@ -482,7 +482,7 @@ def bbox_policy(d):
 
 @query
 def selection_bbox(d):
-    return f"SELECT detection_id, {half_up('pos_x / 10e0', 2)} AS x, {half_up('pos_y', 2)} AS y, {half_up('pos_w / 2e0', 2)} AS w, {half_up('pos_h', 2)} AS h FROM detection WHERE length(trim(text)) >= 2 AND pos_w / 2e0 >= 0.1e0 AND pos_h >= 0.1e0 AND page % 2 = 0"
+    return f"SELECT detection_id, {half_up('pos_x / 10e0', 2)} AS x, {half_up('pos_y', 2)} AS y, {half_up('pos_w / 2e0', 2)} AS w, {half_up('pos_h', 2)} AS h FROM detection WHERE length(trim(text)) >= 2 AND pos_w / 2e0 >= 0.1e0 AND pos_h >= 0.1e0"
 
 
 simple(
@@ -507,7 +507,7 @@ def upd_accept(d):
 
 @query
 def upd_bulk_ids(d):
-    return "SELECT x.detection_id, CASE WHEN x.status = 'pending' THEN 'accepted' ELSE x.status END AS status, count(*) OVER () AS affected FROM detection AS x WHERE x.document_id IN (SELECT min(document_id) FROM document GROUP BY batch_id)"
+    return "SELECT x.detection_id, CASE WHEN x.status = 'pending' THEN 'accepted' ELSE x.status END AS status, (SELECT count(*) FROM detection AS y WHERE y.document_id IN (SELECT min(document_id) FROM document GROUP BY batch_id)) AS affected FROM detection AS x WHERE x.document_id IN (SELECT min(document_id) FROM document GROUP BY batch_id)"
 
 
 @query
@@ -631,7 +631,7 @@ def queue_progress(d):
 def archive_key_group(d):
     key = "concat('archives/', CAST(2020 + batch_id % 5 AS STRING), '/', CAST(batch_id AS STRING), '/part-', CAST(document_id AS STRING), '.jsonl')"
     folder = d.rx_extract("k", r"^(archives/[0-9]+/[0-9]+)/", 1)
-    return f"SELECT folder, {d.glue(d.listed('k', 'k'), ';')} AS keys FROM (SELECT k, {folder} AS folder FROM (SELECT {key} AS k FROM document WHERE document_id < 3000) AS a) AS b GROUP BY folder"
+    return f"SELECT folder, {d.glue(d.listed('k', 'k'), ';')} AS keys FROM (SELECT k, {folder} AS folder FROM (SELECT {key} AS k FROM document) AS a) AS b GROUP BY folder"
 
 
 @query

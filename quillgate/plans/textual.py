@@ -73,7 +73,7 @@ def detect_rules_regex(d):
 
 @query
 def rule_test(d):
-    return f"SELECT rule_id, doc_id, start, text, row_number() OVER (PARTITION BY doc_id ORDER BY start, rule_id) AS place FROM ({det.rule_matches(d, 'page_text', RULES, ('Exact', 'Fuzzy', 'Regex'))}) AS x WHERE doc_id < 300"
+    return f"SELECT rule_id, doc_id, start, text, row_number() OVER (PARTITION BY doc_id ORDER BY start, rule_id) AS place FROM ({det.rule_matches(d, 'page_text', RULES, ('Exact', 'Fuzzy', 'Regex'))}) AS x"
 
 
 @query
@@ -129,16 +129,36 @@ def page_context(d):
     return f"SELECT x.doc_id, x.page, x.start, CASE WHEN {at} = 0 THEN NULL ELSE concat(CASE WHEN {head} > 0 THEN '...' ELSE '' END, {body}, CASE WHEN {tail} < length(p.text) THEN '...' ELSE '' END) END AS context FROM ({det.detect_patterns(d, 'page_text')}) AS x JOIN page_text AS p ON p.doc_id = x.doc_id AND p.page = x.page"
 
 
+def phrase_hits(d: Dialect) -> str:
+    """(item_id, doc_id, phrase, text) of the documents that hold a whole benchmark text, in any case.
+
+    Inside a phrase of seven words or more, words two to six stand between white
+    space, so a document that holds the phrase holds these five words in a row:
+    their hash is the join's key. Only shorter phrases are looked up one by one.
+    """
+    phrases = "SELECT item_id, text AS phrase FROM benchmark WHERE length(text) >= 3"
+    if not d.spark:
+        return f"SELECT b.item_id, c.doc_id, b.phrase, c.text FROM ({phrases}) AS b JOIN documents AS c ON contains(lower(c.text), lower(b.phrase))"
+    words = lambda text: f"filter(split(lower({text}), '\\\\s+'), w -> w <> '')"
+    keyed = f"SELECT item_id, phrase, w FROM (SELECT item_id, phrase, {words('phrase')} AS w FROM ({phrases}) AS p) AS q"
+    five = lambda i: f"xxhash64(array_join(slice(w, {i}, 5), ' '))"
+    grams = f"SELECT doc_id, explode(array_distinct(transform(sequence(1, size(w) - 4), i -> {five('i')}))) AS k FROM (SELECT doc_id, {words('text')} AS w FROM documents) AS t WHERE size(w) >= 5"
+    near = f"SELECT DISTINCT b.item_id, b.phrase, g.doc_id FROM (SELECT item_id, phrase, {five('2')} AS k FROM ({keyed}) AS r WHERE size(w) >= 7) AS b JOIN ({grams}) AS g ON g.k = b.k"
+    long = f"SELECT n.item_id, n.doc_id, n.phrase, c.text FROM ({near}) AS n JOIN documents AS c ON c.doc_id = n.doc_id WHERE contains(lower(c.text), lower(n.phrase))"
+    short = f"SELECT b.item_id, c.doc_id, b.phrase, c.text FROM (SELECT item_id, phrase FROM ({keyed}) AS r WHERE size(w) < 7) AS b JOIN documents AS c ON contains(lower(c.text), lower(b.phrase))"
+    return f"{long} UNION ALL {short}"
+
+
 @query
 def cross_doc_scan(d):
-    at = d.find("lower(c.text)", "lower(b.phrase)")
-    body = d.sub("c.text", f"greatest({at} - 40, 1)", f"least({at} + length(b.phrase) + 39, length(c.text)) - greatest({at} - 40, 1) + 1")
-    return f"SELECT b.item_id, c.doc_id, {body} AS snippet FROM (SELECT item_id, substring(text, 1, 40) AS phrase FROM benchmark WHERE length(text) >= 3) AS b JOIN documents AS c ON contains(lower(c.text), lower(b.phrase))"
+    at = d.find("lower(text)", "lower(phrase)")
+    body = d.sub("text", f"greatest({at} - 40, 1)", f"least({at} + length(phrase) + 39, length(text)) - greatest({at} - 40, 1) + 1")
+    return f"SELECT item_id, doc_id, {body} AS snippet FROM ({phrase_hits(d)}) AS h"
 
 
 @query
 def cross_doc_apply(d):
-    return "SELECT b.item_id, c.doc_id, 100 AS confidence, 'accepted' AS status FROM (SELECT item_id, substring(text, 1, 40) AS phrase FROM benchmark) AS b JOIN documents AS c ON contains(lower(c.text), lower(b.phrase)) WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = c.doc_id AND l.quality = 1)"
+    return f"SELECT item_id, doc_id, 100 AS confidence, 'accepted' AS status FROM ({phrase_hits(d)}) AS h WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = h.doc_id AND l.quality = 1)"
 
 
 @query
@@ -331,11 +351,14 @@ TERMS = ("the", "der", "que", "555")
 
 @query
 def redact_text(d):
-    """The first occurrence of each term in every line."""
-    line = "y"
-    for t in TERMS:
-        first = d.find(line, d.lit(t))
-        line = f"CASE WHEN {first} > 0 THEN concat(substring({line}, 1, {first} - 1), '[REDACTED]', substring({line}, {first} + {len(t)}, 1000000)) ELSE {line} END" if len(line) < 200 else line
+    """The first occurrence of each term in every line, the terms one after the other."""
+    if d.spark:
+        gone = "CASE WHEN instr(acc, t) > 0 THEN concat(substring(acc, 1, instr(acc, t) - 1), '[REDACTED]', substring(acc, instr(acc, t) + length(t))) ELSE acc END"
+        line = f"aggregate({d.strings(list(TERMS))}, y, (acc, t) -> {gone})"
+    else:
+        line = "y"
+        for t in TERMS:
+            line = f"regexp_replace({line}, '{t}', '[REDACTED]')"
     return f"SELECT doc_id, {d.glue(d.each(d.rx_split('text', chr(10)), 'y', line), chr(10))} AS text FROM documents"
 
 
@@ -446,36 +469,26 @@ def synth_pages(d):
 # --- audit ------------------------------------------------------------------------------------------
 
 
-def _payload(d: Dialect, previous: str) -> str:
-    parts = [d.iso("ts"), "coalesce(CAST(user_id AS STRING), '')", "type", "description", "target", "CAST(batch_id AS STRING)", previous]
-    return d.sha256(f"concat_ws('|', {', '.join(parts)})")
+def audit_body(d: Dialect) -> str:
+    """What an entry's hash covers after the hash before it."""
+    parts = [d.iso("ts"), "coalesce(CAST(user_id AS STRING), '')", "coalesce(type, '')", "coalesce(description, '')", "coalesce(target, '')", "coalesce(CAST(batch_id AS STRING), '')"]
+    return f"concat_ws('|', {', '.join(parts)})"
 
 
-def _chained(d: Dialect) -> str:
-    """Audit rows with the hash of their own content and, in ``previous_hash``, that of the row before; some are tampered with."""
-    own = _payload(d, "''")
-    row = f"SELECT *, {own} AS integrity_hash FROM audit"
-    before = "lag(integrity_hash) OVER (PARTITION BY batch_id ORDER BY ts, audit_id)"
-    return f"SELECT audit_id, batch_id, ts, user_id, type, description, target, CASE WHEN audit_id % 997 = 5 THEN 'broken' WHEN audit_id % 101 = 7 THEN NULL ELSE integrity_hash END AS integrity_hash, {before} AS previous_hash FROM ({row}) AS a"
+def tampered(chain: str) -> str:
+    """``chain`` with stored faults: hashes that are broken or missing, and texts altered after hashing."""
+    return f"""SELECT audit_id, batch_id, ts, user_id, type, target, previous_hash,
+        CASE WHEN audit_id % 4099 = 11 THEN 'altered' ELSE description END AS description,
+        CASE WHEN audit_id % 4999 = 5 THEN 'broken' WHEN audit_id % 101 = 7 THEN NULL ELSE integrity_hash END AS integrity_hash FROM ({chain}) AS stored"""
 
 
-@query
-def win_hash_chain_verify(d):
+def verify_chain(d: Dialect, rows: str) -> str:
+    """Per batch its entries and the place of the first whose link or own hash does not hold; entries without a hash are passed over."""
     w = "OVER (PARTITION BY batch_id ORDER BY ts, audit_id)"
-    bad = f"integrity_hash IS NOT NULL AND (prior IS NOT NULL AND coalesce(previous_hash, '') <> prior OR integrity_hash <> {_payload(d, chr(39) * 2)})"
-    rows = f"SELECT *, lag(integrity_hash) {w} AS prior, row_number() {w} - 1 AS place FROM ({_chained(d)}) AS c"
-    return f"SELECT batch_id, count(*) AS entries, {n(f'min(CASE WHEN {bad} THEN place END)')} AS broken_at FROM ({rows}) AS r GROUP BY batch_id"
-
-
-@query
-def chain_append(d):
-    """Hashes of a short run of entries, each over the hash before it: a fold per batch."""
-    items = d.listed(d.record(kind="type", s="CAST(audit_id AS INT)", e="0", t=f"concat_ws('|', {d.iso('ts')}, type, target)"), "audit_id")
-    packed = f"SELECT batch_id, {items} AS items FROM audit WHERE audit_id <= 200 GROUP BY batch_id"
-    last = f"CASE WHEN {d.size('acc')} = 0 THEN '' ELSE {d.at('acc', d.size('acc'))}.t END"
-    step = d.append("acc", d.single(d.record(kind="x.kind", s="x.s", e="0", t=d.sha256(f"concat(x.t, '|', {last})"))))
-    kept = d.fold("items", "[]", "struct<kind:string, s:int, e:int, t:string>", "acc", "x", step)
-    return f"SELECT batch_id, item.s AS audit_id, item.t AS integrity_hash FROM {d.exploded(f'(SELECT batch_id, {kept} AS kept FROM ({packed}) AS a)', 'kept', 'n', 'item')} AS z"
+    again = d.sha256(f"concat(coalesce(previous_hash, ''), '|', {audit_body(d)})")
+    bad = f"coalesce(integrity_hash, '') <> '' AND (coalesce(prior, '') <> '' AND coalesce(previous_hash, '') <> prior OR integrity_hash <> {again})"
+    placed = f"SELECT *, lag(integrity_hash) {w} AS prior, row_number() {w} - 1 AS place FROM ({rows}) AS c"
+    return f"SELECT batch_id, count(*) AS entries, {n(f'min(CASE WHEN {bad} THEN place END)')} AS broken_at FROM ({placed}) AS r GROUP BY batch_id"
 
 
 def _json(d: Dialect) -> str:
@@ -497,21 +510,6 @@ def sink_csv(d):
     return f"SELECT audit_id, concat_ws(',', {', '.join(map(cell, cells))}) AS line FROM audit"
 
 
-# --- bounded logs and breakers as folds -----------------------------------------------------------------
-
-
-@query
-def rate_limit_sliding(d):
-    """A sliding log per user: a request is refused when ``most`` accepted ones lie within the window; refused ones are not logged."""
-    most, window = 5, 6 * 3600
-    items = d.listed(d.record(kind="''", s=f"CAST({d.epoch('ts')} - 1704067200 AS INT)", e="CAST(event_id AS INT)", t="''"), "ts")
-    packed = f"SELECT user_id, {items} AS items FROM (SELECT * FROM events WHERE event_id <= 4000) AS v GROUP BY user_id"
-    live = d.size(d.keep("acc", "k", f"k.t = 'yes' AND x.s - k.s < {window}"))
-    step = d.append("acc", d.single(d.record(kind="x.kind", s="x.s", e="x.e", t=f"CASE WHEN {live} >= {most} THEN 'no' ELSE 'yes' END")))
-    kept = d.fold("items", "[]", "struct<kind:string, s:int, e:int, t:string>", "acc", "x", step)
-    return f"SELECT user_id, item.e AS event_id, item.t = 'yes' AS allowed FROM {d.exploded(f'(SELECT user_id, {kept} AS kept FROM ({packed}) AS a)', 'kept', 'n', 'item')} AS z"
-
-
 # --- the whole dataflow -------------------------------------------------------------------------------
 
 

@@ -29,10 +29,11 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Run ``stream`` over all that is there now and read what it wrote (complete: its last state)."""
     spark = stream.sparkSession
     base = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
+    # A batch that runs again after a failure replaces what it wrote; a complete state replaces the one before.
+    place = (lambda k: "state") if mode == "complete" else (lambda k: f"part={k}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{base}/out")).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{base}/out/{place(k)}")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/*")
 
 
 def daily_actions(events: DataFrame) -> DataFrame:

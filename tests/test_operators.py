@@ -1,10 +1,13 @@
 """Cases of single operators, and properties."""
 
+import hashlib
 import random
 import struct
 
-from quillgate.operators import dedup, detection, geometry, structure
+from quillgate.operators import dedup, detection, geometry, sequential, structure
+from quillgate.plans import textual
 from quillgate.plans.dialect import SPARK
+from quillgate.plans.textual import verify_chain
 from quillgate.sources import files
 from quillgate.sources.model import values
 
@@ -125,3 +128,100 @@ def test_message_with_more_fat_sectors_than_the_header_lists():
     listing = entry("Root Entry", 5, 1, end, 0) + entry("__substg1.0_1000001E", 2, 0xFFFFFFFF, first, len(body)) + bytes(256)
     data = head + struct.pack(f"<{len(table)}I", *table) + difat + listing + body + bytes(-len(body) % 512)
     assert files.msg_pages(data)[1] == (2, body.decode())
+
+
+def test_sequential_operators_against_plain_loops(spark):
+    rng = random.Random(7)
+    events = [(rng.choice([1, 2, 3, None]), rng.randint(0, 400), i, rng.random() < 0.5) for i in range(600)]
+    order = sorted(events, key=lambda e: (e[1], e[2]))
+    frame = spark.createDataFrame(events, "user_id bigint, at bigint, event_id bigint, failed boolean")
+    logs, allowed, circuits, calls = {}, {}, {}, {}
+    for user, at, event, failed in order:
+        log = logs.setdefault(user, [])
+        allowed[event] = sum(at - t < 50 for t in log) < 3
+        if allowed[event]:
+            log.append(at)
+        state = circuits.setdefault(user, {"state": "closed", "failures": 0, "opened": None})
+        if state["state"] == "open":
+            if at - state["opened"] < 30:
+                calls[event] = (f"{event}:refused", "open")
+                continue
+            state["state"] = "half-open"
+        if failed:
+            state["failures"] += 1
+            if state["state"] == "half-open" or state["failures"] >= 2:
+                state |= {"state": "open", "opened": at}
+        else:
+            state |= {"state": "closed", "failures": 0}
+        calls[event] = (f"{event}:{'failed' if failed else 'ok'}", state["state"])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # keys that span batches
+    try:
+        assert {r.event_id: r.allowed for r in sequential.rate_limited(frame.drop("failed"), 3, 50).collect()} == allowed
+        assert {int(r.call.split(":")[0]): (r.call, r.state) for r in sequential.broken_circuits(frame, 2, 30).collect()} == calls
+        entries = frame.selectExpr("user_id", "at", "event_id", "concat('body ', event_id) AS body")
+        hashes = {(r.batch_id, r.audit_id): (r.previous_hash, r.integrity_hash) for r in sequential.chained(entries).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last = {}
+    for user, _, event, _ in order:
+        own = hashlib.sha256(f"{last.get(user) or ''}|body {event}".encode()).hexdigest()
+        assert hashes[user, event] == (last.get(user), own)
+        last[user] = own
+
+
+def verified(spark, entries):
+    rows = [(1, i, f"2024-01-01 00:00:0{i}", *e) for i, e in enumerate(entries)]
+    frame = spark.createDataFrame(rows, "batch_id bigint, audit_id bigint, at string, user_id bigint, type string, description string, target string, previous_hash string, integrity_hash string")
+    frame = frame.selectExpr("*", "CAST(at AS TIMESTAMP_NTZ) AS ts").drop("at")
+    return spark.sql(verify_chain(SPARK, "SELECT * FROM {rows}"), rows=frame).first().broken_at
+
+
+def entry_chain(count):
+    out, before = [], None
+    for i in range(count):
+        body = f"2024-01-01T00:00:0{i}.000Z|5|login|did {i}|file|1"
+        own = hashlib.sha256(f"{before or ''}|{body}".encode()).hexdigest()
+        out.append([5, "login", f"did {i}", "file", before, own])
+        before = own
+    return out
+
+
+def test_audit_chain_verification(spark):
+    assert verified(spark, entry_chain(5)) is None
+    changed = entry_chain(5)
+    changed[2][2] = "did something else"
+    assert verified(spark, changed) == 2
+    rewritten = entry_chain(5)  # a text altered together with its own hash and the next entry's link
+    body = "2024-01-01T00:00:02.000Z|5|login|rewritten|file|1"
+    rewritten[2][2], rewritten[2][5] = "rewritten", hashlib.sha256(f"{rewritten[1][5]}|{body}".encode()).hexdigest()
+    assert verified(spark, rewritten) == 3
+    rewritten[3][4] = rewritten[2][5]
+    assert verified(spark, rewritten) == 3
+    unlinked = entry_chain(5)
+    unlinked[4][4] = "0" * 64
+    assert verified(spark, unlinked) == 4
+    legacy = entry_chain(5)
+    legacy[1][5] = None
+    assert verified(spark, legacy) is None
+
+
+def test_lines_lose_the_first_occurrence_of_every_term(spark):
+    spark.createDataFrame([(1, "the der que 555 the\nquery\n" + "x" * 250 + " 555 555")], "doc_id int, text string").createOrReplaceTempView("documents")
+    got = spark.sql(textual.redact_text(SPARK)).first().text
+    assert got == "[REDACTED] [REDACTED] [REDACTED] [REDACTED] the\n[REDACTED]ry\n" + "x" * 250 + " [REDACTED] 555"
+
+
+def test_whole_phrases_are_found_anywhere(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(3))
+    phrases = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 6, 7, 8, 12])))) for i in range(12)] + [(20, "ab"), (21, None)]
+    docs = []
+    for i in range(80):
+        text = " ".join(word() for _ in range(30))
+        if i % 2:
+            text = text[:40] + rng.choice(phrases[:12])[1].upper() + text[40:]
+        docs.append((i, text))
+    spark.createDataFrame(phrases, "item_id int, text string").createOrReplaceTempView("benchmark")
+    spark.createDataFrame([*docs, (99, None), (100, "")], "doc_id int, text string").createOrReplaceTempView("documents")
+    got = sorted((r.item_id, r.doc_id) for r in spark.sql(textual.phrase_hits(SPARK)).collect())
+    assert got == sorted((i, j) for i, p in phrases if p and len(p) >= 3 for j, t in docs if p.lower() in t.lower()) and got
