@@ -88,6 +88,29 @@ def joined(texts: Sequence[bytes], most: int) -> bytes:
     return b"".join(t[:SHARE_BYTES] for t in texts)[:most]
 
 
+def tally(texts: Sequence[bytes], together: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """The different windows of all texts and how often each occurs, gathered some texts at a time."""
+    rows, often = np.zeros((0, len(MARK) + WINDOW), dtype=np.uint8), np.zeros(0, dtype=np.int64)
+    parts, counts, held = [], [], 0
+    for lo in range(0, len(texts), together):
+        part, which = distinct(windows_of(texts[lo : lo + together])[0])
+        parts.append(part)
+        counts.append(np.bincount(which, minlength=len(part)))
+        held += len(part)
+        if held > 2 * len(rows) + 100_000 or lo + together >= len(texts):
+            rows, which = distinct(np.concatenate([rows, *parts]))
+            often = np.bincount(which, weights=np.concatenate([often, *counts]), minlength=len(rows)).astype(np.int64)
+            parts, counts, held = [], [], 0
+    return rows, often
+
+
+def least_of_share(values: np.ndarray, often: np.ndarray, share: float) -> float:
+    """The value that ``share`` of all stay below or at, each counted as often as it occurs."""
+    order = np.argsort(values, kind="stable")
+    running = np.cumsum(often[order])
+    return float(values[order][min(len(order) - 1, np.searchsorted(running, share * running[-1]))])
+
+
 class Dictionary:
     """Compressed lengths of windows under one raw-content dictionary."""
 
@@ -100,16 +123,16 @@ class Dictionary:
         self.compress = zstandard.ZstdCompressor(compression_params=settings, dict_data=held).multi_compress_to_buffer
 
     def lengths(self, rows: np.ndarray) -> np.ndarray:
-        edge, out = np.frombuffer(CARRIER, dtype=np.uint8), [np.zeros(0, dtype=np.int64)]
-        for lo in range(0, len(rows), 100_000):
-            part = rows[lo : lo + 100_000]
+        edge, out = np.frombuffer(CARRIER, dtype=np.uint8), [np.zeros(0, dtype=np.int16)]
+        for lo in range(0, len(rows), 20_000):
+            part = rows[lo : lo + 20_000]
             blocks = np.empty((len(part), part.shape[1] + 2 * len(edge)), dtype=np.uint8)
             blocks[:, : len(edge)] = blocks[:, -len(edge) :] = edge
             blocks[:, len(edge) : -len(edge)] = part
             places = np.full((len(part), 2), blocks.shape[1], dtype="<u8")
             places[:, 0] *= np.arange(len(part), dtype=np.uint64)
             packed = self.compress(zstandard.BufferWithSegments(blocks.tobytes(), places.tobytes()), threads=1)
-            out.append(np.fromiter((len(packed[i]) for i in range(len(part))), dtype=np.int64, count=len(part)))
+            out.append(np.fromiter((len(packed[i]) for i in range(len(part))), dtype=np.int16, count=len(part)))
         return np.concatenate(out)
 
 
@@ -125,13 +148,13 @@ def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Panel:
     """Pairs of dictionaries; ``gains`` are the bytes that the toxic ones save over the ordinary ones, per window, on average."""
 
-    def __init__(self, dictionaries: Sequence[tuple[bytes, bytes]]) -> None:
-        self.pairs = [(Dictionary(a), Dictionary(b)) for a, b in dictionaries]
+    def __init__(self, dictionaries: Sequence[tuple[bytes, bytes]], memo: int = MEMO) -> None:
+        self.pairs, self.most = [(Dictionary(a), Dictionary(b)) for a, b in dictionaries], memo
         self.memo: dict[bytes, float] = {}
 
     def gains(self, rows: np.ndarray) -> np.ndarray:
         rows, which = distinct(rows)
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
         names = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}")[:, 0].tolist() if len(rows) else []
         fresh = [i for i, name in enumerate(names) if name not in self.memo]
@@ -196,19 +219,20 @@ def toxic_passages(parts: list[list[bytes]], ordinary: list[bytes], calibration:
     own = [Dictionary(joined(p, volume)) for p in parts]
     many = max(1, min(PLAIN * len(parts), len(joined(ordinary, PLAIN * PARTS * PART_BYTES)) // max(1, volume)))
     plain = [Dictionary(joined(ordinary[i::many], volume)) for i in range(many)]
-    ordinary_length = lambda rows: np.mean([j.lengths(rows) for j in plain], axis=0)
-    usual, which = distinct(windows_of(calibration)[0])
+    usual, usually = tally(calibration)
+
+    def ordinary_length(rows: np.ndarray) -> np.ndarray:
+        return sum((j.lengths(rows) for j in plain), np.zeros(len(rows), dtype=np.float32)) / len(plain)
 
-    def saved(plain: np.ndarray, judges: list[np.ndarray]) -> np.ndarray:
+    def saved(ordinary: np.ndarray, judges: list[np.ndarray]) -> np.ndarray:
         """Mean saving of the judges against the mean ordinary length; copies let a few save very much, so each counts up to MOST_SAVED."""
-        return np.minimum(plain - np.array(judges), MOST_SAVED).mean(axis=0)
+        return sum((np.minimum(ordinary - j, MOST_SAVED) for j in judges), np.zeros(len(ordinary), dtype=np.float32)) / len(judges)
 
     usual_plain, usual_own, found = ordinary_length(usual), [j.lengths(usual) for j in own], []
     for i, part in enumerate(parts):
-        rows, where = distinct(windows_of(part)[0])
-        least = max(1.0, np.quantile(saved(usual_plain, usual_own[:i] + usual_own[i + 1 :])[which], STRICT)) if len(which) else 1.0
+        rows, often = tally(part)
+        least = max(1.0, least_of_share(saved(usual_plain, usual_own[:i] + usual_own[i + 1 :]), usually, STRICT)) if len(usual) else 1.0
         good = saved(ordinary_length(rows), [j.lengths(rows) for j in own[:i] + own[i + 1 :]]) >= least
-        often = np.bincount(where, minlength=len(rows))
         found.append(Counter({rows[k].tobytes(): int(often[k]) for k in np.flatnonzero(good)}))
     return found
 
@@ -247,7 +271,7 @@ def fit(samples: Sequence[tuple[str | None, int]], prior: float | None = None) -
     passages = toxic_passages(parts, source, calibration)
     rows, y = [], []
     for i in range(k):  # a text's features come from a dictionary without its own passages
-        pair = Panel(contents(passages[:i] + passages[i + 1 :], source))
+        pair = Panel(contents(passages[:i] + passages[i + 1 :], source), memo=0)
         for part, label in ((parts[i], 1), (calibration[i::k], 0)):
             rows.append(features(pair.counts([texts[t] for t in part])))
             y += [label] * len(part)
@@ -323,7 +347,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     rows = docs.filter("text IS NOT NULL").select("doc_id", F.substring("text", (start + 1).cast("int"), F.lit(longest)).alias("text"))
     rows = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     rows = sorted((r.doc_id, r.text, r.y) for r in rows.collect())  # at most 2 * sample rows of ``longest`` characters
-    return fit([(t, y) for _, t, y in rows], (count.k / count.n) if count.n else None)
+    model = fit([(t, y) for _, t, y in rows], (count.k / count.n) if count.n else None)
+    del rows
+    release()  # the driver goes on with other work
+    return model
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, threshold: float = THRESHOLD) -> DataFrame:
