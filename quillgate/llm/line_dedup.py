@@ -74,7 +74,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, names: tuple[str, s
     order = [c for c in docs.columns if c not in names]
     row = F.struct(*[F.col(f"`{c}`") for c in order]).alias("row")
     out = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.split("text", "\n").alias("l")).alias("d")
-    cuts = cuts.select(F.col("who.id").alias("id"), F.col("who.t").alias("t"), "cut").alias("c")
+    cuts = cuts.select(F.col("who.id").alias("id"), F.col("who.t").alias("t"), "cut").alias("c").hint("merge")  # grows with the documents: never broadcast, at any size
     out = out.join(cuts, F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.t") == F.col("c.t")), "left").select("row", "l", "cut")
     filled = F.size(F.filter("l", lambda x: bare_line(x) != ""))
     drops = F.when(F.col("cut").isNotNull(), F.size("cut") < filled).otherwise(False)
