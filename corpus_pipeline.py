@@ -45,12 +45,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     any names pass unchanged; an empty table gives none.
     """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    key = F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")  # the same text under the same id has the same score
     with small_batches(spark):
-        toxic = docs.select(*key, toxicity(model)(F.col("text")).alias("score")).filter(F.col("score") >= THRESHOLD)
-        toxic = Scratch(spark, "toxic").put(toxic.select("id", "t").distinct(), "rejected")
-    same = F.col("d.doc_id").eqNullSafe(F.col("r.id")) & (F.xxhash64("d.text") == F.col("r.t"))
-    return docs.alias("d").join(toxic.alias("r"), same, "left_anti")
+        return Scratch(spark, "toxic").put(docs.filter(toxicity(model)(F.col("text")) < THRESHOLD), "kept")
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
