@@ -60,7 +60,7 @@ RIDGE = 2e-3
 #: Bytes of text whose windows are held at once.
 CHUNK = 2_000_000
 #: Windows whose gains a worker remembers.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def marked(text: str | None) -> bytes:
