@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgate.llm.scratch import Scratch
+from quillgate.llm.scratch import Scratch, small_batches
 from quillgate.llm.tokenizing import END_ID, default_path, encoder
 from quillgate.llm.worker import release
 
@@ -217,7 +217,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, islands: int = ISL
     hold up to SHARD pieces whatever the input's size.
     """
     scratch = Scratch(docs.sparkSession, "pack")
-    pieces = scratch.put(cut_pieces(docs, capacity, path, end), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = scratch.put(cut_pieces(docs, capacity, path, end), "pieces")
     slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,9 +8,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one Arrow batch while Python works on whole texts: batches bound what workers and executors hold.
+BATCH_ROWS = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for the jobs that run inside; the session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before) if int(before) > 0 else BATCH_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local one only in local mode where that is unset (tests), an error on a cluster."""
