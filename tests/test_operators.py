@@ -59,6 +59,8 @@ def sql_and_spark(spark, build):
 def test_patterns_of_odd_texts_equal_sql(spark):
     got, want = sql_and_spark(spark, textual.detect_patterns)
     assert got == want and len(got) > 5
+    got, want = sql_and_spark(spark, textual.win_pattern_claim)
+    assert got == want
 
 
 def test_restated():
