@@ -7,11 +7,15 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LONGEST = 80
 WINDOW = 50
 BOX = "pos_x double, pos_y double, pos_w double, pos_h double"
+FOUND = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("text", pa.string()), ("n", pa.int32()), *((c, pa.float64()) for c in ("pos_x", "pos_y", "pos_w", "pos_h"))])
 
 
 def percent(value: float, whole: float | None) -> float:
@@ -45,12 +49,33 @@ def _flat(text: str) -> str:
     return re.sub(r"\s+", " ", text.lower())
 
 
-def locate(text: str, words: list[dict], width: float | None = None, height: float | None = None, long_ok: bool = False) -> list[tuple]:
-    """Boxes of every occurrence of ``text`` among ``words``: smallest windows, one after the other, near-equal boxes once."""
-    target = _flat(text or "").strip()
-    if not words or not target or (len(target) > LONGEST and not long_ok):
-        return []
-    found: list[tuple] = []
+def _plain(joined: str, n: int) -> bool:
+    """Whether ``joined`` is ``n`` words with one space between each two, and white space nowhere else."""
+    parts = joined.split()
+    return len(parts) == n and " ".join(parts) == joined
+
+
+def _windows(target: str, joined: str) -> list[tuple[int, int]]:
+    """First and last word of the smallest windows that hold ``target``, one after the other, in a plain text (lower case)."""
+    found: list[tuple[int, int]] = []
+    size, at, seen, word = len(target), 0, 0, 0
+    while (at := joined.find(target, at)) >= 0:
+        word, seen = word + joined.count(" ", seen, at), at  # the word in which the target starts
+        last = word + joined.count(" ", at, at + size)
+        end = joined.find(" ", at + size)
+        end, after = len(joined) if end < 0 else end, joined.find(" ", at) + 1  # ends of the window and of its first word
+        if last - word < WINDOW and (not after or after > end or joined.find(target, after, end) < 0):
+            found.append((word, last))
+            after = end + 1
+        if not after or after > len(joined):
+            break
+        at = after
+    return found
+
+
+def _scanned(target: str, words: list[dict]) -> list[tuple[int, int]]:
+    """``_windows`` of any words, with empty ones and white space inside."""
+    found: list[tuple[int, int]] = []
     start = 0
     while start < len(words):
         joined = ""
@@ -59,33 +84,87 @@ def locate(text: str, words: list[dict], width: float | None = None, height: flo
             joined = f"{joined} {words[end]['text']}" if end > start else words[end]["text"]
             if target in _flat(joined):
                 if target not in _flat(joined[len(words[start]["text"]) :]):
-                    found += line_boxes(words[start : end + 1], width, height)
+                    found.append((start, end))
                     step = end - start + 1
                 break
         start += step
-    if not found and " " not in target:
-        for word in words:
-            if word["text"].lower() == target:
-                found += line_boxes([word], width, height)
+    return found
+
+
+def _wanted(text: str | None, long_ok: bool) -> str:
+    target = _flat(text or "").strip()
+    return "" if len(target) > LONGEST and not long_ok else target
+
+
+def _once(boxes: list[tuple]) -> list[tuple]:
+    """Near-equal boxes once, empty ones not at all."""
     unique: list[tuple] = []
-    for box in found:
+    for box in boxes:
         if (box[2] or box[3]) and not any(all(abs(a - b) < 0.1 for a, b in zip(box, other)) for other in unique):
             unique.append(box)
     return unique
 
 
-def locate_all(targets: DataFrame, layouts: DataFrame) -> DataFrame:
-    """(doc_id, page, text, box number, box) for targets (doc_id, page, text) on layouts (doc_id, page, width, height, words)."""
+def locate(text: str, words: list[dict], width: float | None = None, height: float | None = None, long_ok: bool = False) -> list[tuple]:
+    """Boxes of every occurrence of ``text`` among ``words``: smallest windows, one after the other, near-equal boxes once."""
+    target = _wanted(text, long_ok)
+    if not words or not target:
+        return []
+    found = [box for a, b in _scanned(target, words) for box in line_boxes(words[a : b + 1], width, height)]
+    if not found and " " not in target:
+        for word in words:
+            if word["text"].lower() == target:
+                found += line_boxes([word], width, height)
+    return _once(found)
 
-    def run(key: tuple, wanted: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for page in pages.itertuples():
-            words = [w.asDict() if hasattr(w, "asDict") else w for w in page.words]
-            for text in wanted["text"]:
-                rows += [(key[0], key[1], text, i + 1, *box) for i, box in enumerate(locate(text, words, page.width, page.height))]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "text", "n", "pos_x", "pos_y", "pos_w", "pos_h"])
 
-    return targets.groupBy("doc_id", "page").cogroup(layouts.groupBy("doc_id", "page")).applyInPandas(run, f"doc_id bigint, page int, text string, n int, {BOX}")
+def locate_within(layouts: DataFrame) -> DataFrame:
+    """(doc_id, page, text, box number, box) for each of the texts of layouts (doc_id, page, width, height, words, texts).
+
+    Words stay in Arrow: only the joined text of a page and the polygons of the
+    words found become Python values, except where words hold white space.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            first, items = words.offsets.to_numpy(), words.values
+            polygons = items.field("polygon")
+            joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, items.field("text")), " ").to_pylist()
+            bounds, numbers, present = polygons.offsets.to_numpy(), polygons.values.to_numpy(zero_copy_only=False), polygons.is_valid().to_numpy(zero_copy_only=False)
+            shape = lambda i: {"polygon": numbers[bounds[i] : bounds[i + 1]].tolist() if present[i] else None}  # noqa: B023, E731
+            rows: list[tuple] = []
+            for k, (doc, page, width, height, texts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "width", "height", "texts")), strict=True)):
+                n = first[k + 1] - first[k]
+                low = joined[k].lower() if joined[k] is not None and words[k].is_valid else None
+                plain = low is not None and _plain(low, n)
+                for text in texts:
+                    target = _wanted(text, False)
+                    if not target or not n:
+                        continue
+                    boxes = _once([box for a, b in _windows(target, low) for box in line_boxes([shape(first[k] + i) for i in range(a, b + 1)], width, height)]) if plain else []
+                    if not boxes and (not plain or " " not in target and target in low):
+                        boxes = locate(text, words[k].as_py(), width, height)
+                    rows += [(doc, page, text, i + 1, *box) for i, box in enumerate(boxes)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, FOUND.types, strict=True)], schema=FOUND)
+
+    return layouts.select("doc_id", "page", "width", "height", "words", "texts").mapInArrow(run, f"doc_id bigint, page int, text string, n int, {BOX}")
+
+
+def texts_of(targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """``pages`` that have targets (doc_id, page, text), with all of them as ``texts``."""
+    wanted = targets.groupBy(F.col("doc_id").alias("of"), F.col("page").alias("at")).agg(F.collect_list("text").alias("texts"))
+    return pages.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("page").eqNullSafe(F.col("at"))).drop("of", "at")
+
+
+def locate_all(targets: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``locate_within`` for targets (doc_id, page, text) on layouts (doc_id, page, width, height, words).
+
+    Layouts are moved to their targets whole; where they are made from something
+    smaller, join that (``texts_of``) and make them afterwards.
+    """
+    return locate_within(texts_of(targets, layouts))
 
 
 def alike(a: tuple, b: tuple) -> bool:

@@ -92,6 +92,29 @@ def words(*texts):
     return [{"text": t, "polygon": [i * 60, 10, i * 60 + 50, 10, i * 60 + 50, 22, i * 60, 22]} for i, t in enumerate(texts)]
 
 
+def test_locate_within_pages(spark):
+    """Plain pages by the joined text, others word by word; as ``locate`` finds them, with keys that repeat or are null."""
+    rng = random.Random(4)
+    key = [(1, 1), (1, 1), (None, 2), (2, None), *((i, 1) for i in range(3, 40))]
+    pages = [(d, p, 600.0, 800.0, words(*(rng.choice(["a", "b", "A b", "c\u00a0", "", "ab"] if i % 2 else ["a", "b", "ba", "\u0130"]) for _ in range(rng.randrange(120))))) for i, (d, p) in enumerate(key)]
+    for word in (w for *_, ws in pages for w in ws):
+        word["polygon"] = [float(v) for v in word["polygon"]]
+    wanted = [(d, p, " ".join(rng.choice(["a", "b", "A", "ba"]) for _ in range(rng.randint(1, 3)))) for d, p in {*key} for _ in range(2)]
+    layouts = spark.createDataFrame(pages, "doc_id bigint, page int, width double, height double, words array<struct<text:string,polygon:array<double>>>")
+    got = geometry.locate_all(spark.createDataFrame(wanted, "doc_id bigint, page int, text string"), layouts)
+    assert "CoGroups" not in got._jdf.queryExecution().toString()  # a Python call per page
+    want = [(d, p, t, i + 1, *box) for d, p, w, h, ws in pages for d2, p2, t in wanted if (d, p) == (d2, p2) for i, box in enumerate(geometry.locate(t, ws, w, h))]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 50
+
+
+def test_windows_of_plain_texts_equal_a_scan():
+    rng = random.Random(2)
+    for _ in range(2000):
+        low = " ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 70)))
+        target = " ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+        assert geometry._windows(target, low) == geometry._scanned(target, [{"text": w} for w in low.split(" ")])
+
+
 def test_locate():
     assert geometry.locate("john smith", words("Mr", "John", "Smith", "left", "John", "Smith")) == [(60, 10, 110, 12), (240, 10, 110, 12)]
     assert geometry.locate("x" * 81, words("x" * 81)) == []
