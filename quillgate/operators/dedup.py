@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgate.sources.scratch import materialise
 
 THRESHOLD = 0.85
 LEAST_CHARS = 100
+#: Classes of trigrams whose frequency is counted; what rounding of the threshold may cost.
+CLASSES, SLACK = 1 << 16, 1e-6
+PAIRS = pa.schema([("batch", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 SPACE = r"[ \t\n\x0b\f\r]+"
 
 
@@ -29,35 +37,98 @@ def content_hash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").alias("batch"), F.sha2(normalise(F.col("text")), 256).alias("content_hash"))
 
 
+def _grams(text: str) -> np.ndarray:
+    """Distinct trigrams as numbers: three code points of 21 bits."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+def _classes(grams: np.ndarray) -> np.ndarray:
+    """One of ``CLASSES`` for each trigram."""
+    return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+
+
+def _rarity(reps: DataFrame) -> np.ndarray:
+    """Rank of each class of trigrams, from rare to frequent in the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for text in batch.column("t"):
+                np.add.at(counts, _classes(_grams(text.as_py())), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["c", "n"])
+
+    counts = np.zeros(CLASSES, np.int64)
+    for r in reps.select("t").mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect():
+        counts[r["c"]] = r["n"]
+    ranks = np.empty(CLASSES, np.int64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(CLASSES)
+    return ranks
+
+
+def _prefixes(reps: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+    """(key, doc_id, k, i): the rarest of each set's k trigrams, as many as sets that are alike must share one of; i is its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for doc, of, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "of", "t")), strict=True):
+                grams = _grams(text)
+                n = len(grams) - math.ceil(len(grams) * threshold - SLACK) + 1
+                order = ranks[_classes(grams)] << 47 | grams * 0x2545F4914F6CDD1D >> 17 & (1 << 47) - 1
+                order = order[np.argsort(order, kind="stable")[:n]] if len(grams) else order
+                parts.append((order ^ of, np.full(len(order), doc), np.full(len(order), len(grams), np.int32), np.arange(len(order), dtype=np.int32)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "doc_id", "k", "i"])
+
+    return reps.select("doc_id", F.xxhash64("batch").alias("of"), "t").mapInArrow(run, "key bigint, doc_id bigint, k int, i int")
+
+
+def _confirmed(rows: DataFrame, threshold: float) -> DataFrame:
+    """(batch, a, b, jaccard) from rows (a, b, batch, t) sorted by a, b: the text of a, where b is null, and then those of its candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, of = None, np.empty(0, np.int64), None
+        for batch in batches:
+            found = []
+            for a, b, name, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "batch", "t")), strict=True):
+                if b is None:
+                    at, own, of = a, _grams(text), name
+                elif at == a and of == name:
+                    grams = _grams(text)
+                    shared = len(np.intersect1d(own, grams, assume_unique=True))
+                    alike = shared / (len(own) + len(grams) - shared) if len(own) else 0.0
+                    if alike >= threshold:
+                        found.append((name, a, b, alike))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, PAIRS.types, strict=True)], schema=PAIRS)
+
+    return rows.mapInArrow(run, "batch string, a bigint, b bigint, jaccard double")
+
+
 def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
     """(batch, a, b, jaccard) of distinct texts of one batch, a < b by doc_id, both at least ``least`` characters.
 
-    Equal texts are one representative first. Trigrams are numbered from rare to
-    frequent, so that a set's prefix holds its rarest; sets that are alike share
-    a prefix trigram (exact prefix filtering), and the places of the first one
-    bound what they can still share. Only what passes is intersected.
+    Equal texts are one representative first. Trigrams are put in one order, by
+    the rarity of their hash class, so that a set's prefix holds its rarest; sets
+    that are alike share a prefix trigram (exact prefix filtering, whatever the
+    order), and the places of the first one bound what they can still share.
+    Texts of what passes are intersected: that of a once, those of b per pair.
+    Trigrams themselves are made from the texts in each task and never stored.
     """
     texts = docs.filter(F.length("text") >= least).select("doc_id", F.coalesce("source", F.lit("")).alias("batch"), normalise(F.col("text")).alias("t"))
-    reps = texts.groupBy("batch", F.xxhash64("t").alias("h"), F.length("t").alias("n")).agg(F.min_by("t", "doc_id").alias("t"), F.min("doc_id").alias("doc_id"))
-    grams = materialise(reps.select("batch", "doc_id", F.explode(trigram_set(F.col("t"))).alias("gram")), "grams")
-    order = Window.orderBy("df", "gram")
-    rank = materialise(grams.groupBy("gram").agg(F.count("*").alias("df")).select("gram", F.row_number().over(order).alias("g")), "ranks")
-    sets = grams.join(rank, "gram").groupBy("batch", "doc_id").agg(F.sort_array(F.collect_list("g")).alias("s"))
-    sets = materialise(sets.withColumn("k", F.size("s")), "sets")
-    prefix = F.slice("s", 1, (F.col("k") - F.ceil(F.col("k") * threshold) + 1).cast("int"))
-    keys = sets.select("batch", "doc_id", "k", F.posexplode(prefix).alias("i", "g"))
+    reps = materialise(texts.groupBy("batch", F.xxhash64("t").alias("h"), F.length("t").alias("n")).agg(F.min_by("t", "doc_id").alias("t"), F.min("doc_id").alias("doc_id")), "reps")
+    keys = _prefixes(reps, _rarity(reps), threshold)
     x, y = keys.alias("x"), keys.alias("y")
-    fits = (F.least("x.k", "y.k") >= threshold * F.greatest("x.k", "y.k")) & (
-        1 + F.least(F.col("x.k") - F.col("x.i") - 1, F.col("y.k") - F.col("y.i") - 1) + F.least("x.i", "y.i") >= threshold / (1 + threshold) * (F.col("x.k") + F.col("y.k"))
+    fits = (F.least("x.k", "y.k") + SLACK >= threshold * F.greatest("x.k", "y.k")) & (
+        1 + F.least(F.col("x.k") - F.col("x.i") - 1, F.col("y.k") - F.col("y.i") - 1) + F.least("x.i", "y.i") + SLACK >= threshold / (1 + threshold) * (F.col("x.k") + F.col("y.k"))
     )
-    near = x.join(y, (F.col("x.batch") == F.col("y.batch")) & (F.col("x.g") == F.col("y.g")) & (F.col("x.doc_id") < F.col("y.doc_id")) & fits)
-    near = near.select(F.col("x.batch").alias("batch"), F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    left = sets.select("batch", F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select("batch", F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = near.join(left, ["batch", "a"]).join(right, ["batch", "b"])
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = both.withColumn("jaccard", shared / (F.size("sa") + F.size("sb") - shared))
-    return both.filter(F.col("jaccard") >= threshold).select("batch", "a", "b", "jaccard")
+    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & fits)
+    near = materialise(near.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "near")
+    others = near.join(reps.select(F.col("doc_id").alias("b"), "batch", "t"), "b").select("a", "b", "batch", "t")
+    own = reps.join(near.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "batch", "t")
+    return _confirmed(others.unionAll(own).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()), threshold)
 
 
 def first_matches(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:

@@ -88,6 +88,32 @@ def test_similar_pairs_equal_brute_force(spark):
     assert all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85 for a, b in got)
 
 
+def test_similar_pairs_store_no_trigrams(spark, monkeypatch):
+    """Texts with characters beyond the BMP, null sources and pairs at the threshold itself; only texts and candidates are written."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(6):
+        base = [rng.choice("abcdefgh \U0001f600\U0001f601\u00e9") for _ in range(200)]
+        for _ in range(5):
+            changed = list(base)
+            for _ in range(rng.randrange(8)):
+                changed[rng.randrange(200)] = rng.choice("xyz\U0001f602")
+            rows.append(("".join(changed), rng.choice(["s", None])))
+    line = "".join(chr(0x4E00 + i) for i in range(187))
+    rows += [(line[:172], "line"), (line[15:187], "line"), (line[:171], "line"), (line[13:185], "line"), ("?" * 150, "line")]
+    rows += [(line[:102], "edge"), (line[:119] + line[:1], "edge"), (line[:102] + "q", "edge"), (line[:87] + " ", "edge")]
+    docs = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(rows)], "doc_id bigint, text string, source string")
+    flat = [" ".join(t.split()).lower() for t, _ in rows]
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in flat]
+    ok = lambda a, b: rows[a][1] == rows[b][1] and len(rows[a][0]) >= 100 <= len(rows[b][0]) and flat[a] != flat[b]
+    want = {(a, b): j for b in range(len(sets)) for a in range(b) if ok(a, b) and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.85}
+    assert flat.index(line[:172]) == 30 and (30, 33) in want
+    written, keep = [], dedup.materialise
+    monkeypatch.setattr(dedup, "materialise", lambda df, label: written.append(label) or keep(df, label))
+    assert {(r.a, r.b): r.jaccard for r in dedup.similar_pairs(docs).collect()} == want and len(want) >= 10
+    assert written == ["reps", "near"]
+
+
 def words(*texts):
     return [{"text": t, "polygon": [i * 60, 10, i * 60 + 50, 10, i * 60 + 50, 22, i * 60, 22]} for i, t in enumerate(texts)]
 
