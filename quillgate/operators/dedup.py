@@ -16,6 +16,7 @@ THRESHOLD = 0.85
 LEAST_CHARS = 100
 #: Classes of trigrams whose frequency is counted; what rounding of the threshold may cost.
 CLASSES, SLACK = 1 << 16, 1e-6
+SIGNS = ("s0", "s1", "s2", "s3")
 PAIRS = pa.schema([("batch", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 SPACE = r"[ \t\n\x0b\f\r]+"
 
@@ -68,7 +69,10 @@ def _rarity(reps: DataFrame) -> np.ndarray:
 
 
 def _prefixes(reps: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
-    """(key, doc_id, k, i): the rarest of each set's k trigrams, as many as sets that are alike must share one of; i is its place."""
+    """(key, doc_id, k, i, s0 to s3): the rarest of each set's k trigrams, as many as sets that are alike must share one of; i is its place.
+
+    s0 to s3 hold the parity of the set's trigrams in 256 hash classes: two sets differ in at least as many trigrams as bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,11 +82,12 @@ def _prefixes(reps: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
                 n = len(grams) - math.ceil(len(grams) * threshold - SLACK) + 1
                 order = ranks[_classes(grams)] << 47 | grams * 0x2545F4914F6CDD1D >> 17 & (1 << 47) - 1
                 order = order[np.argsort(order, kind="stable")[:n]] if len(grams) else order
-                parts.append((order ^ of, np.full(len(order), doc), np.full(len(order), len(grams), np.int32), np.arange(len(order), dtype=np.int32)))
+                parity = np.packbits(np.bincount(grams * 0x1B873593CC9E2D51 >> 56 & 255, minlength=256) & 1 > 0).view(np.int64)
+                parts.append((order ^ of, np.full(len(order), doc), np.full(len(order), len(grams), np.int32), np.arange(len(order), dtype=np.int32), *(np.full(len(order), v) for v in parity)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "doc_id", "k", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "doc_id", "k", "i", *SIGNS])
 
-    return reps.select("doc_id", F.xxhash64("batch").alias("of"), "t").mapInArrow(run, "key bigint, doc_id bigint, k int, i int")
+    return reps.select("doc_id", F.xxhash64("batch").alias("of"), "t").mapInArrow(run, "key bigint, doc_id bigint, k int, i int, " + ", ".join(f"{c} bigint" for c in SIGNS))
 
 
 def _confirmed(rows: DataFrame, threshold: float) -> DataFrame:
@@ -113,7 +118,8 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     Equal texts are one representative first. Trigrams are put in one order, by
     the rarity of their hash class, so that a set's prefix holds its rarest; sets
     that are alike share a prefix trigram (exact prefix filtering, whatever the
-    order), and the places of the first one bound what they can still share.
+    order), the places of the first one bound what they can still share, and the
+    parities of hash classes what they differ in.
     Texts of what passes are intersected: that of a once, those of b per pair.
     Trigrams themselves are made from the texts in each task and never stored.
     """
@@ -124,6 +130,8 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     fits = (F.least("x.k", "y.k") + SLACK >= threshold * F.greatest("x.k", "y.k")) & (
         1 + F.least(F.col("x.k") - F.col("x.i") - 1, F.col("y.k") - F.col("y.i") - 1) + F.least("x.i", "y.i") + SLACK >= threshold / (1 + threshold) * (F.col("x.k") + F.col("y.k"))
     )
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIGNS), F.lit(0))
+    fits &= apart <= (1 - threshold) / (1 + threshold) * (F.col("x.k") + F.col("y.k")) + SLACK
     near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & fits)
     near = materialise(near.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "near")
     others = near.join(reps.select(F.col("doc_id").alias("b"), "batch", "t"), "b").select("a", "b", "batch", "t")
