@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,10 @@ from quillgate.sources.scratch import materialise
 
 THRESHOLD = 0.85
 LEAST_CHARS = 100
-#: Classes of trigrams whose frequency is counted; what rounding of the threshold may cost.
-CLASSES, SLACK = 1 << 16, 1e-6
-SIGNS = ("s0", "s1", "s2", "s3")
+#: Bits of a signature and of a folded one; texts in a block, in a piece of it and in a family; what rounding of the threshold may cost.
+BITS, FOLD = 2048, 512
+BLOCK, PIECE, FAMILY = 8192, 2048, 1024
+SLACK = 1e-6
 PAIRS = pa.schema([("batch", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 SPACE = r"[ \t\n\x0b\f\r]+"
 
@@ -44,99 +46,168 @@ def _grams(text: str) -> np.ndarray:
     return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
 
 
-def _classes(grams: np.ndarray) -> np.ndarray:
-    """One of ``CLASSES`` for each trigram."""
-    return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+def _signature(grams: np.ndarray) -> bytes:
+    """The parity of the trigrams in each of ``BITS`` hash classes: two sets differ in at least as many trigrams as bits."""
+    of = (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS.bit_length() + 1)
+    return np.packbits(np.bincount(of.astype(np.int64), minlength=BITS) & 1 > 0).tobytes()
 
 
-def _rarity(reps: DataFrame) -> np.ndarray:
-    """Rank of each class of trigrams, from rare to frequent in the texts."""
+def _signed(texts: DataFrame) -> DataFrame:
+    """(doc_id, batch, h, n, k, sig): size and signature of each text's trigrams; h and n tell texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CLASSES, np.int64)
         for batch in batches:
-            for text in batch.column("t"):
-                np.add.at(counts, _classes(_grams(text.as_py())), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["c", "n"])
+            sets = [_grams(t.as_py()) for t in batch.column("t")]
+            more = pa.array([len(g) for g in sets], pa.int32()), pa.array(map(_signature, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns("t").columns, *more], ["doc_id", "batch", "h", "n", "k", "sig"])
 
-    counts = np.zeros(CLASSES, np.int64)
-    for r in reps.select("t").mapInArrow(run, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        counts[r["c"]] = r["n"]
-    ranks = np.empty(CLASSES, np.int64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(CLASSES)
-    return ranks
+    rows = texts.select("doc_id", "batch", F.xxhash64("t").alias("h"), F.length("t").alias("n"), "t")
+    return rows.mapInArrow(run, "doc_id bigint, batch string, h bigint, n int, k int, sig binary")
 
 
-def _prefixes(reps: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
-    """(key, doc_id, k, i, s0 to s3): the rarest of each set's k trigrams, as many as sets that are alike must share one of; i is its place.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """Rows of sorted batches by their ``key``."""
+    at, held = None, []
+    for batch in batches:
+        runs, start = pc.run_end_encode(batch.column("key")), 0
+        for end, key in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+            if key != at and held:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            at, start = key, end
+    if held:
+        yield at, pa.Table.from_batches(held)
 
-    s0 to s3 hold the parity of the set's trigrams in 256 hash classes: two sets differ in at least as many trigrams as bits.
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by ``key``, as many tasks as shuffles have: small rows that make much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+
+
+def _tiles(reps: DataFrame, threshold: float) -> DataFrame:
+    """(key, side, doc_id, k, sig): texts of one batch and of sizes that can be alike, in pairs of blocks.
+
+    A class of sizes is compared with itself and the next; a class has blocks of
+    about ``BLOCK`` texts. The key names a pair of blocks and ends in the batch.
     """
+    width = max(-math.log(threshold), 0.01) * (1 + 1e-9)
+    reps = reps.withColumn("c", F.floor(F.log(F.col("k").cast("double")) / width).cast("int"))
+    blocks = reps.groupBy("batch", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("here"))
+    for name, by in (("above", 1), ("below", -1)):
+        blocks = blocks.join(blocks.select("batch", (F.col("c") - by).alias("c"), F.col("here").alias(name)), ["batch", "c"], "left")
+    reps = reps.join(blocks, ["batch", "c"]).withColumn("i", F.pmod(F.xxhash64("doc_id"), "here").cast("int"))
+    others = lambda n, tile: F.transform(F.filter(F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), lambda o: o < F.coalesce(n, F.lit(0))), tile)
+    tile = lambda c, d, i, j, side: F.struct(F.concat_ws("|", c, F.lit(d), i, j, "batch").alias("key"), side.cast("int").alias("side"))
+    own, c = F.col("i"), F.col("c")
+    tiles = F.concat(
+        others(F.col("here"), lambda o: tile(c, 0, F.least(own, o), F.greatest(own, o), own > o)),
+        others(F.col("above"), lambda o: tile(c, 1, own, o, F.lit(0))),
+        others(F.col("below"), lambda o: tile(c - 1, 1, o, own, F.lit(1))),
+    )
+    return reps.select(F.explode(tiles).alias("x"), "doc_id", "k", "sig").select("x.*", "doc_id", "k", "sig")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for doc, of, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "of", "t")), strict=True):
-                grams = _grams(text)
-                n = len(grams) - math.ceil(len(grams) * threshold - SLACK) + 1
-                order = ranks[_classes(grams)] << 47 | grams * 0x2545F4914F6CDD1D >> 17 & (1 << 47) - 1
-                order = order[np.argsort(order, kind="stable")[:n]] if len(grams) else order
-                parity = np.packbits(np.bincount(grams * 0x1B873593CC9E2D51 >> 56 & 255, minlength=256) & 1 > 0).view(np.int64)
-                parts.append((order ^ of, np.full(len(order), doc), np.full(len(order), len(grams), np.int32), np.arange(len(order), dtype=np.int32), *(np.full(len(order), v) for v in parity)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["key", "doc_id", "k", "i", *SIGNS])
 
-    return reps.select("doc_id", F.xxhash64("batch").alias("of"), "t").mapInArrow(run, "key bigint, doc_id bigint, k int, i int, " + ", ".join(f"{c} bigint" for c in SIGNS))
+def _candidates(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(batch, a, b), a < b: pairs that size and signatures do not rule out, each once.
+
+    First by signatures folded to ``FOLD`` bits, whose distances a matrix product
+    yields together with what the sizes allow, then by all their bits.
+    """
+    share = (1 - threshold) / (1 + threshold)
 
+    def side(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        k = rows.column("k").to_numpy().astype(np.int64)
+        order = np.argsort(k, kind="stable")
+        words = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(len(k), -1)[order]
+        return rows.column("doc_id").to_numpy()[order], k[order], words
 
-def _confirmed(rows: DataFrame, threshold: float) -> DataFrame:
-    """(batch, a, b, jaccard) from rows (a, b, batch, t) sorted by a, b: the text of a, where b is null, and then those of its candidates."""
+    def signs(k: np.ndarray, words: np.ndarray, left: bool) -> np.ndarray:
+        folded = np.bitwise_xor.reduce(words.reshape(len(k), BITS // FOLD, -1), axis=1)
+        size, one = np.minimum(2 * share * k, 2 * FOLD)[:, None], np.ones((len(k), 1))
+        bits = np.unpackbits(folded.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+        return np.hstack([bits, *((size, one) if left else (one, size))]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, of = None, np.empty(0, np.int64), None
-        for batch in batches:
-            found = []
-            for a, b, name, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "batch", "t")), strict=True):
-                if b is None:
-                    at, own, of = a, _grams(text), name
-                elif at == a and of == name:
-                    grams = _grams(text)
-                    shared = len(np.intersect1d(own, grams, assume_unique=True))
-                    alike = shared / (len(own) + len(grams) - shared) if len(own) else 0.0
+        for key, rows in _groups(batches):
+            name = key.split("|", 4)
+            alone = name[1] == "0" and name[2] == name[3]
+            x = side(rows.filter(pc.equal(rows.column("side"), 0)))
+            y = x if alone else side(rows.filter(pc.equal(rows.column("side"), 1)))
+            for i in range(0, len(x[0]), PIECE):
+                doc, k, words = (v[i : i + PIECE] for v in x)
+                left = None
+                for j in range(i if alone else 0, len(y[0]), PIECE):
+                    doc_y, k_y, words_y = (v[j : j + PIECE] for v in y)
+                    if min(k[-1], k_y[-1]) + SLACK < threshold * max(k[0], k_y[0]):
+                        continue
+                    left = signs(k, words, True) if left is None else left
+                    p, q = np.nonzero(left @ signs(k_y, words_y, False).T >= FOLD - 0.1)
+                    ok = np.minimum(k[p], k_y[q]) + SLACK >= threshold * np.maximum(k[p], k_y[q])
+                    p, q = p[ok & (p < q)] if alone and i == j else p[ok], q[ok & (p < q)] if alone and i == j else q[ok]
+                    for at in range(0, len(p), PIECE * 64):
+                        r, s = p[at : at + PIECE * 64], q[at : at + PIECE * 64]
+                        apart = np.bitwise_count(words[r] ^ words_y[s]).sum(axis=1, dtype=np.int64)
+                        ok = apart <= share * (k[r] + k_y[s]) + SLACK
+                        a, b = doc[r[ok]], doc_y[s[ok]]
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.repeat(name[4], len(a)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["batch", "a", "b"])
+
+    return _dealt(tiles).mapInArrow(run, "batch string, a bigint, b bigint")
+
+
+def _brought(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, doc_id, others, batch, t): the texts of candidates, once for many pairs; others are those to compare a text with.
+
+    Texts whose first candidate is the same are mostly one family and meet in one
+    group, or, if they are many, in groups by parts of both sides.
+    """
+    first = near.groupBy("b").agg(F.min("a").alias("m"))
+    parts = first.groupBy("m").agg(F.ceil(F.count("*") / FAMILY).alias("n"))
+    part = lambda c: F.pmod(F.xxhash64(c), "n")
+    pairs = near.join(first.join(parts, "m"), "b").select(F.concat_ws("|", "m", part("a"), part("b")).alias("key"), "a", "b")
+    rows = pairs.select("key", F.col("b").alias("doc_id"), "a").unionAll(pairs.select("key", F.col("a").alias("doc_id"), F.lit(None).cast("bigint")))
+    return rows.groupBy("key", "doc_id").agg(F.collect_list("a").alias("others")).join(texts, "doc_id").select("key", "doc_id", "others", "batch", "t")
+
+
+def _confirmed(rows: DataFrame, threshold: float, first: bool) -> DataFrame:
+    """(batch, a, b, jaccard) of the rows of ``_brought`` that are alike; with ``first`` only the first of each text in a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _groups(batches):
+            docs = group.column("doc_id").to_pylist()
+            sets = {doc: _grams(t.as_py()) for doc, t in zip(docs, group.column("t"), strict=True)}
+            for b, name, others in zip(docs, group.column("batch").to_pylist(), group.column("others").to_pylist(), strict=True):
+                own, found = sets[b], []
+                for a in sorted(others):
+                    at = np.minimum(np.searchsorted(own, sets[a]), len(own) - 1)
+                    shared = int(np.count_nonzero(own[at] == sets[a]))
+                    alike = shared / (len(own) + len(sets[a]) - shared)
                     if alike >= threshold:
                         found.append((name, a, b, alike))
-            columns = list(zip(*found, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, PAIRS.types, strict=True)], schema=PAIRS)
+                        if first:
+                            break
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), PAIRS.types, strict=True)], schema=PAIRS)
 
-    return rows.mapInArrow(run, "batch string, a bigint, b bigint, jaccard double")
+    return _dealt(rows).mapInArrow(run, "batch string, a bigint, b bigint, jaccard double")
 
 
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
+def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_CHARS, first: bool = False) -> DataFrame:
     """(batch, a, b, jaccard) of distinct texts of one batch, a < b by doc_id, both at least ``least`` characters.
 
-    Equal texts are one representative first. Trigrams are put in one order, by
-    the rarity of their hash class, so that a set's prefix holds its rarest; sets
-    that are alike share a prefix trigram (exact prefix filtering, whatever the
-    order), the places of the first one bound what they can still share, and the
-    parities of hash classes what they differ in.
-    Texts of what passes are intersected: that of a once, those of b per pair.
-    Trigrams themselves are made from the texts in each task and never stored.
+    Equal texts are one representative first. Of each there are the number of its
+    trigrams and the parities of ``BITS`` hash classes of them, both exact bounds;
+    they are compared in pairs of blocks inside tasks, and only what passes gets
+    its texts, which are intersected. Trigrams are made from the texts in each
+    task and never stored. With ``first``, some pairs of a text may be missing,
+    but never the one with its first a.
     """
     texts = docs.filter(F.length("text") >= least).select("doc_id", F.coalesce("source", F.lit("")).alias("batch"), normalise(F.col("text")).alias("t"))
-    reps = materialise(texts.groupBy("batch", F.xxhash64("t").alias("h"), F.length("t").alias("n")).agg(F.min_by("t", "doc_id").alias("t"), F.min("doc_id").alias("doc_id")), "reps")
-    keys = _prefixes(reps, _rarity(reps), threshold)
-    x, y = keys.alias("x"), keys.alias("y")
-    fits = (F.least("x.k", "y.k") + SLACK >= threshold * F.greatest("x.k", "y.k")) & (
-        1 + F.least(F.col("x.k") - F.col("x.i") - 1, F.col("y.k") - F.col("y.i") - 1) + F.least("x.i", "y.i") + SLACK >= threshold / (1 + threshold) * (F.col("x.k") + F.col("y.k"))
-    )
-    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIGNS), F.lit(0))
-    fits &= apart <= (1 - threshold) / (1 + threshold) * (F.col("x.k") + F.col("y.k")) + SLACK
-    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & fits)
-    near = materialise(near.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "near")
-    others = near.join(reps.select(F.col("doc_id").alias("b"), "batch", "t"), "b").select("a", "b", "batch", "t")
-    own = reps.join(near.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "batch", "t")
-    return _confirmed(others.unionAll(own).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()), threshold)
+    reps = _signed(texts).groupBy("batch", "h", "n").agg(F.min("doc_id").alias("doc_id"), F.first("k").alias("k"), F.first("sig").alias("sig"))
+    reps = materialise(reps.filter("k > 0").select("doc_id", "batch", "k", "sig"), "reps")
+    near = materialise(_candidates(_tiles(reps, threshold), threshold), "near")
+    return _confirmed(_brought(near, texts), threshold, first)
 
 
 def first_matches(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
@@ -146,15 +217,15 @@ def first_matches(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     Near matches are found between representatives of equal texts and passed on
     to every copy.
     """
-    texts = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("batch"), "text", F.sha2(normalise(F.col("text")), 256).alias("h"))
+    texts = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("batch"), F.length("text").alias("n"), F.sha2(normalise(F.col("text")), 256).alias("h"))
     first = texts.groupBy("batch", "h").agg(F.min("doc_id").alias("first_id"))
     texts = texts.join(first, ["batch", "h"])
-    pairs = similar_pairs(docs, threshold, least)
+    pairs = similar_pairs(docs, threshold, least, first=True)
     earlier = pairs.groupBy("batch", F.col("b").alias("first_id")).agg(F.min("a").alias("near_id"))
-    out = texts.filter(F.col("text").isNotNull()).join(earlier, ["batch", "first_id"], "left")
+    out = texts.filter(F.col("n").isNotNull()).join(earlier, ["batch", "first_id"], "left")
     exact = F.col("first_id") < F.col("doc_id")
-    kind = F.when(exact, "exact").when(F.col("near_id").isNotNull() & (F.length("text") >= least), "near")
-    match = F.when(exact, F.col("first_id")).when(F.length("text") >= least, F.col("near_id"))
+    kind = F.when(exact, "exact").when(F.col("near_id").isNotNull() & (F.col("n") >= least), "near")
+    match = F.when(exact, F.col("first_id")).when(F.col("n") >= least, F.col("near_id"))
     return out.select("doc_id", match.alias("match_id"), kind.alias("kind")).filter("kind IS NOT NULL")
 
 

@@ -124,6 +124,53 @@ def test_similar_pairs_store_no_trigrams(spark, monkeypatch):
     assert written == ["reps", "near"]
 
 
+def near_texts(rng, n, size):
+    """Families of texts of ``size`` words of one made-up language, most of whose trigrams are shared by all."""
+    lexicon = ["".join(rng.choice(["an", "er", "th", "in", "on", "re", "at"]) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+    texts = []
+    while len(texts) < n:
+        base = [rng.choice(lexicon) for _ in range(rng.randint(size, 2 * size))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(4)):
+            texts.append(" ".join(w if rng.random() < 0.97 else rng.choice(lexicon) for w in base))
+    return texts[:n]
+
+
+def alike_pairs(texts):
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    return {(a, b): j for b in range(len(sets)) for a in range(b) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.85 and texts[a] != texts[b]}
+
+
+def test_similar_pairs_bring_few_texts(spark, monkeypatch):
+    """Texts that share many trigrams without being alike are no candidates."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghijkl ") for _ in range(1_600)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    rows, keep = {}, dedup.materialise
+
+    def counted(df, label):
+        out = keep(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "materialise", counted)
+    assert dedup.similar_pairs(docs).count() == 0 and rows["near"] < 60
+
+
+def test_similar_pairs_in_small_blocks(spark, monkeypatch):
+    """Blocks, pieces and families of a few texts give all pairs once; of each text the first match, through ``first_matches`` too."""
+    for name, size in (("BLOCK", 4), ("PIECE", 2), ("FAMILY", 2)):
+        monkeypatch.setattr(dedup, name, size)
+    texts = [*{*near_texts(random.Random(8), 50, 40)}]
+    texts.sort(key=lambda t: t[::-1])
+    docs = spark.createDataFrame([(i, t, "s|1") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    want = alike_pairs(texts)
+    got = [(r.a, r.b, r.jaccard) for r in dedup.similar_pairs(docs).collect()]
+    assert sorted(got) == sorted((a, b, j) for (a, b), j in want.items()) and len(got) > 10
+    firsts = {b: min(a for a, of in want if of == b) for _, b in want}
+    assert {r.doc_id: r.match_id for r in dedup.first_matches(docs).collect() if r.kind == "near"} == firsts
+
+
 def words(*texts):
     return [{"text": t, "polygon": [i * 60, 10, i * 60 + 50, 10, i * 60 + 50, 22, i * 60, 22]} for i, t in enumerate(texts)]
 
