@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,11 @@ THRESHOLD = 0.85
 LEAST_CHARS = 100
 #: Bits of a signature and of a folded one; texts in a block, in a piece of it and in a family; what rounding of the threshold may cost.
 BITS, FOLD = 2048, 512
-BLOCK, PIECE, FAMILY = 8192, 2048, 1024
+BLOCK, PIECE, FAMILY = 16384, 2048, 1024
 SLACK = 1e-6
+#: Pairs are counted by a matrix product if they are so many, and it multiplies at most so often for one; its cells at a time.
+LEAST_DENSE, WORTH, CELLS = 64, 200_000, 1 << 22
+NEAR = pa.schema([("b", pa.int64()), ("m", pa.int64()), ("others", pa.binary())])
 PAIRS = pa.schema([("batch", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 SPACE = r"[ \t\n\x0b\f\r]+"
 
@@ -108,11 +112,29 @@ def _tiles(reps: DataFrame, threshold: float) -> DataFrame:
     return reps.select(F.explode(tiles).alias("x"), "doc_id", "k", "sig").select("x.*", "doc_id", "k", "sig")
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ascending numbers in few bytes."""
+    return zlib.compress(np.diff(ids, prepend=0).astype("<i8").tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), "<i8"))
+
+
+def _lists(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each b with its a, ascending."""
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    cuts = np.flatnonzero(np.diff(b)) + 1
+    return zip(b[np.concatenate(([0], cuts))].tolist(), np.split(a, cuts), strict=True)
+
+
 def _candidates(tiles: DataFrame, threshold: float) -> DataFrame:
-    """(batch, a, b), a < b: pairs that size and signatures do not rule out, each once.
+    """(b, m, others): the texts a < b that size and signatures do not rule out for b, packed, and the first of them.
 
-    First by signatures folded to ``FOLD`` bits, whose distances a matrix product
-    yields together with what the sizes allow, then by all their bits.
+    Each pair is in one row; a text has a row for each pair of pieces that finds
+    some. First by signatures folded to ``FOLD`` bits, whose distances a matrix
+    product yields together with what the sizes allow, then by all their bits.
     """
     share = (1 - threshold) / (1 + threshold)
 
@@ -145,29 +167,111 @@ def _candidates(tiles: DataFrame, threshold: float) -> DataFrame:
                     p, q = np.nonzero(left @ signs(k_y, words_y, False).T >= FOLD - 0.1)
                     ok = np.minimum(k[p], k_y[q]) + SLACK >= threshold * np.maximum(k[p], k_y[q])
                     p, q = p[ok & (p < q)] if alone and i == j else p[ok], q[ok & (p < q)] if alone and i == j else q[ok]
+                    kept = []
                     for at in range(0, len(p), PIECE * 64):
                         r, s = p[at : at + PIECE * 64], q[at : at + PIECE * 64]
                         apart = np.bitwise_count(words[r] ^ words_y[s]).sum(axis=1, dtype=np.int64)
-                        ok = apart <= share * (k[r] + k_y[s]) + SLACK
-                        a, b = doc[r[ok]], doc_y[s[ok]]
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.repeat(name[4], len(a)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["batch", "a", "b"])
+                        kept.append(apart <= share * (k[r] + k_y[s]) + SLACK)
+                    ok = np.concatenate(kept) if kept else np.zeros(0, bool)
+                    if ok.any():
+                        a, b = doc[p[ok]], doc_y[q[ok]]
+                        found = [(at, int(own[0]), _packed(own)) for at, own in _lists(np.minimum(a, b), np.maximum(a, b))]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), NEAR.types, strict=True)], schema=NEAR)
+
+    return _dealt(tiles).mapInArrow(run, "b bigint, m bigint, others binary")
+
+
+def _named(near: DataFrame, slots: int) -> bytes:
+    """A filter of ``slots`` bits that has those of all texts in ``near``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                ids = [batch.column("b").to_numpy(), *map(_unpacked, batch.column("others").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(ids)))], ["doc_id"])
 
-    return _dealt(tiles).mapInArrow(run, "batch string, a bigint, b bigint")
+    at = near.select("b", "others").mapInArrow(run, "doc_id bigint").select(_slot(slots).alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(slots // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes()
 
 
-def _brought(near: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, doc_id, others, batch, t): the texts of candidates, once for many pairs; others are those to compare a text with.
+def _slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(slots))
 
-    Texts whose first candidate is the same are mostly one family and meet in one
-    group, or, if they are many, in groups by parts of both sides.
+
+def _wanted(texts: DataFrame, near: DataFrame, most: int) -> DataFrame:
+    """(doc_id, batch, t) of the texts in ``near`` and a few others, compressed: all others are left where they are. ``most``: texts there are."""
+    slots = 1 << min(26, max(10, (8 * most).bit_length()))
+    bits = np.frombuffer(_named(near, slots), np.uint8)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))).drop_columns("slot")
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pressed = [zlib.compress(t.as_py().encode("utf-8", "surrogatepass"), 1) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("batch"), pa.array(pressed, pa.binary())], ["doc_id", "batch", "t"])
+
+    found = texts.select("doc_id", "batch", "text", _slot(slots).alias("slot")).mapInArrow(pick, "doc_id bigint, batch string, text string")
+    return found.select("doc_id", "batch", normalise(F.col("text")).alias("t")).mapInArrow(press, "doc_id bigint, batch string, t binary")
+
+
+def _brought(near: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(key, doc_id, others, batch, t): the texts of candidates, once for many pairs; others are lists of those to compare a text with.
+
+    Texts whose first candidate, or its first one, is the same are mostly one family
+    and meet in one group, or, if they are many, in groups of two of its parts.
     """
-    first = near.groupBy("b").agg(F.min("a").alias("m"))
-    parts = first.groupBy("m").agg(F.ceil(F.count("*") / FAMILY).alias("n"))
-    part = lambda c: F.pmod(F.xxhash64(c), "n")
-    pairs = near.join(first.join(parts, "m"), "b").select(F.concat_ws("|", "m", part("a"), part("b")).alias("key"), "a", "b")
-    rows = pairs.select("key", F.col("b").alias("doc_id"), "a").unionAll(pairs.select("key", F.col("a").alias("doc_id"), F.lit(None).cast("bigint")))
-    return rows.groupBy("key", "doc_id").agg(F.collect_list("a").alias("others")).join(texts, "doc_id").select("key", "doc_id", "others", "batch", "t")
+    first = near.groupBy("b").agg(F.min("m").alias("m"))
+    before = first.select(F.col("b").alias("m"), F.col("m").alias("up"))
+    first = first.join(before, "m", "left").select("b", F.coalesce("up", "m").alias("m"))
+    parts = first.groupBy("m").agg(F.ceil(F.count("*") / FAMILY).cast("bigint").alias("n"))
+    part = lambda ids, n: ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % n
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seen = [], {}
+            for b, m, n, others in zip(*(batch.column(c).to_pylist() for c in ("b", "m", "n", "others")), strict=True):
+                ids, own = _unpacked(others), int(part(np.array([b]), n)[0])
+                at = part(ids, n)
+                for i in np.unique(at).tolist():
+                    key, here = f"{m}|{min(i, own)}|{max(i, own)}", ids[at == i]
+                    rows.append((key, b, _packed(here)))
+                    seen.setdefault(key, []).append(here)
+            rows += [(key, a, None) for key, lists in seen.items() for a in np.unique(np.concatenate(lists)).tolist()]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.binary()), strict=True)], ["key", "doc_id", "others"])
+
+    rows = near.select("b", "others").join(first.join(parts, "m"), "b").select("b", "m", "n", "others").mapInArrow(deal, "key string, doc_id bigint, others binary")
+    return rows.groupBy("key", "doc_id").agg(F.collect_list("others").alias("others")).join(_wanted(texts, near, most), "doc_id").select("key", "doc_id", "others", "batch", "t")
+
+
+def _shared(sets: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Numbers of trigrams that the sets p and q of each pair share: by a matrix product where pairs are dense, else pair by pair."""
+    left, right = np.unique(p), np.unique(q)
+    words = np.unique(np.concatenate(sets)) if len(p) >= LEAST_DENSE else np.zeros(0, np.int64)
+    if not len(words) or len(left) * len(right) * len(words) > WORTH * len(p):
+        out = np.zeros(len(p), np.int64)
+        for at, (i, j) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+            x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            out[at] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+        return out
+    at = [np.searchsorted(words, s) for s in sets]
+    step = max(1, CELLS // max(len(left), len(right)))
+
+    def cells(rows: np.ndarray, start: int) -> np.ndarray:
+        out = np.zeros((len(rows), min(step, len(words) - start)), np.float32)
+        for i, row in enumerate(rows.tolist()):
+            low, high = np.searchsorted(at[row], (start, start + step))
+            out[i, at[row][low:high] - start] = 1
+        return out
+
+    both = sum(cells(left, start) @ cells(right, start).T for start in range(0, len(words), step))
+    return both[np.searchsorted(left, p), np.searchsorted(right, q)].astype(np.int64)
 
 
 def _confirmed(rows: DataFrame, threshold: float, first: bool) -> DataFrame:
@@ -175,20 +279,22 @@ def _confirmed(rows: DataFrame, threshold: float, first: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _groups(batches):
-            docs = group.column("doc_id").to_pylist()
-            sets = {doc: _grams(t.as_py()) for doc, t in zip(docs, group.column("t"), strict=True)}
-            for b, name, others in zip(docs, group.column("batch").to_pylist(), group.column("others").to_pylist(), strict=True):
-                own, found = sets[b], []
-                for a in sorted(others):
-                    at = np.minimum(np.searchsorted(own, sets[a]), len(own) - 1)
-                    shared = int(np.count_nonzero(own[at] == sets[a]))
-                    alike = shared / (len(own) + len(sets[a]) - shared)
-                    if alike >= threshold:
-                        found.append((name, a, b, alike))
-                        if first:
-                            break
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), PAIRS.types, strict=True)], schema=PAIRS)
+            group = group.sort_by("doc_id")
+            docs, names = group.column("doc_id").to_numpy(), group.column("batch")
+            sets = [_grams(zlib.decompress(t.as_py()).decode("utf-8", "surrogatepass")) for t in group.column("t")]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            pairs = [(i, np.concatenate([_unpacked(o) for o in others])) for i, others in enumerate(group.column("others").to_pylist()) if others]
+            p = np.searchsorted(docs, np.concatenate([a for _, a in pairs]))
+            q = np.repeat([i for i, _ in pairs], [len(a) for _, a in pairs])
+            shared = _shared(sets, p, q)
+            alike = shared / (sizes[p] + sizes[q] - shared)
+            ok = np.flatnonzero(alike >= threshold)
+            if first:
+                ok = ok[np.lexsort((p[ok], q[ok]))]
+                ok = ok[np.unique(q[ok], return_index=True)[1]]
+            for at in range(0, len(ok), PIECE * 32):
+                r = ok[at : at + PIECE * 32]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q[r])).combine_chunks(), pa.array(docs[p[r]]), pa.array(docs[q[r]]), pa.array(alike[r])], schema=PAIRS)
 
     return _dealt(rows).mapInArrow(run, "batch string, a bigint, b bigint, jaccard double")
 
@@ -199,15 +305,15 @@ def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     Equal texts are one representative first. Of each there are the number of its
     trigrams and the parities of ``BITS`` hash classes of them, both exact bounds;
     they are compared in pairs of blocks inside tasks, and only what passes gets
-    its texts, which are intersected. Trigrams are made from the texts in each
+    its texts, compressed, whose trigrams are intersected. Trigrams are made from the texts in each
     task and never stored. With ``first``, some pairs of a text may be missing,
     but never the one with its first a.
     """
-    texts = docs.filter(F.length("text") >= least).select("doc_id", F.coalesce("source", F.lit("")).alias("batch"), normalise(F.col("text")).alias("t"))
-    reps = _signed(texts).groupBy("batch", "h", "n").agg(F.min("doc_id").alias("doc_id"), F.first("k").alias("k"), F.first("sig").alias("sig"))
+    texts = docs.filter(F.length("text") >= least).select("doc_id", F.coalesce("source", F.lit("")).alias("batch"), "text")
+    reps = _signed(texts.select("doc_id", "batch", normalise(F.col("text")).alias("t"))).groupBy("batch", "h", "n").agg(F.min("doc_id").alias("doc_id"), F.first("k").alias("k"), F.first("sig").alias("sig"))
     reps = materialise(reps.filter("k > 0").select("doc_id", "batch", "k", "sig"), "reps")
     near = materialise(_candidates(_tiles(reps, threshold), threshold), "near")
-    return _confirmed(_brought(near, texts), threshold, first)
+    return _confirmed(_brought(near, texts, reps.count()), threshold, first)
 
 
 def first_matches(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:

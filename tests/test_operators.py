@@ -171,6 +171,28 @@ def test_similar_pairs_in_small_blocks(spark, monkeypatch):
     assert {r.doc_id: r.match_id for r in dedup.first_matches(docs).collect() if r.kind == "near"} == firsts
 
 
+def test_similar_pairs_move_little(spark, monkeypatch):
+    """A family's pairs and texts are moved in few bytes, and a text that is like no other not at all."""
+    rng = random.Random(9)
+    base = [rng.choice("abcdefghijklm") for _ in range(2_000)]
+    texts = ["".join(base[:i] + [rng.choice("xyz")] + base[i + 1 :]) for i in range(200)]
+    texts += ["".join(rng.choice("abcdefghijklm") for _ in range(2_000)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    moved, keep = {}, dedup._brought
+
+    def weighed(*args):
+        out = keep(*args)
+        moved.update({r.doc_id: len(r.t) for r in out.collect()}, pairs=sum(len(o) for r in out.collect() for o in r.others))
+        return out
+
+    monkeypatch.setattr(dedup, "_brought", weighed)
+    monkeypatch.setattr(dedup, "CELLS", 5_000)  # a matrix in several parts
+    got = {(r.a, r.b): r.jaccard for r in dedup.similar_pairs(docs).collect()}
+    pairs = moved.pop("pairs")
+    assert {*moved} == {*range(200)} and max(moved.values()) < 1_600 and pairs < 2 * len(got)
+    assert got == alike_pairs(texts) and len(got) == 200 * 199 // 2
+
+
 def words(*texts):
     return [{"text": t, "polygon": [i * 60, 10, i * 60 + 50, 10, i * 60 + 50, 22, i * 60, 22]} for i, t in enumerate(texts)]
 
