@@ -17,6 +17,8 @@ WINDOW = 50
 BOX = "pos_x double, pos_y double, pos_w double, pos_h double"
 FOUND = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("text", pa.string()), ("n", pa.int32()), *((c, pa.float64()) for c in ("pos_x", "pos_y", "pos_w", "pos_h"))])
 
+SPANS = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("alone", pa.list_(pa.int32()))])
+
 
 def percent(value: float, whole: float | None) -> float:
     """Two decimals, halves up; percent of ``whole`` where that is given."""
@@ -152,6 +154,58 @@ def locate_within(layouts: DataFrame) -> DataFrame:
     return layouts.select("doc_id", "page", "width", "height", "words", "texts").mapInArrow(run, f"doc_id bigint, page int, text string, n int, {BOX}")
 
 
+def windows_within(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, text, spans, alone) for each of the texts of pages (doc_id, page, words, texts) that is found, words being strings.
+
+    Spans are the first and last words of ``locate``'s windows, from 0; alone are
+    the words that equal a text of one word. A page's boxes are not needed yet:
+    bring or make those of the words found, for ``boxes_within``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, words.values), " ").to_pylist()
+            rows: list[tuple] = []
+            for k, (doc, page, n, texts) in enumerate(zip(*(c.to_pylist() for c in (batch.column("doc_id"), batch.column("page"), pc.list_value_length(words), batch.column("texts"))), strict=True)):
+                if not n:
+                    continue
+                low = joined[k].lower() if joined[k] is not None else None
+                plain = low is not None and _plain(low, n)
+                for text in texts:
+                    target = _wanted(text, False)
+                    if not target:
+                        continue
+                    own = None if plain else [{"text": w} for w in words[k].as_py()]
+                    spans = _windows(target, low) if plain else _scanned(target, own)
+                    alone = [] if " " in target else [i for i, w in enumerate(low.split(" ") if plain else [w["text"].lower() for w in own]) if w == target]
+                    if spans or alone:
+                        rows.append((doc, page, text, [{"first": a, "last": b} for a, b in spans], alone))
+            columns = list(zip(*rows, strict=True)) or [()] * len(SPANS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, SPANS.types, strict=True)], schema=SPANS)
+
+    return pages.select("doc_id", "page", "words", "texts").mapInArrow(run, "doc_id bigint, page int, text string, spans array<struct<first:int,last:int>>, alone array<int>")
+
+
+def boxes_within(found: DataFrame) -> DataFrame:
+    """(doc_id, page, text, box number, box) for found (doc_id, page, text, width, height, spans, alone).
+
+    Spans are lists of the polygons of their words, alone the polygons of single words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, page, text, width, height, spans, alone in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "text", "width", "height", "spans", "alone")), strict=True):
+                boxes = [box for span in spans for box in line_boxes([{"polygon": p} for p in span], width, height)]
+                boxes = boxes or [box for p in alone for box in line_boxes([{"polygon": p}], width, height)]
+                rows += [(doc, page, text, i + 1, *box) for i, box in enumerate(_once(boxes))]
+            columns = list(zip(*rows, strict=True)) or [()] * len(FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, FOUND.types, strict=True)], schema=FOUND)
+
+    return found.select("doc_id", "page", "text", "width", "height", "spans", "alone").mapInArrow(run, f"doc_id bigint, page int, text string, n int, {BOX}")
+
+
 def texts_of(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """``pages`` that have targets (doc_id, page, text), with all of them as ``texts``."""
     wanted = targets.groupBy(F.col("doc_id").alias("of"), F.col("page").alias("at")).agg(F.collect_list("text").alias("texts"))
@@ -162,7 +216,7 @@ def locate_all(targets: DataFrame, layouts: DataFrame) -> DataFrame:
     """``locate_within`` for targets (doc_id, page, text) on layouts (doc_id, page, width, height, words).
 
     Layouts are moved to their targets whole; where they are made from something
-    smaller, join that (``texts_of``) and make them afterwards.
+    smaller, find the words first (``windows_within``) and make the boxes of those.
     """
     return locate_within(texts_of(targets, layouts))
 

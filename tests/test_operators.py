@@ -220,6 +220,42 @@ def test_windows_of_plain_texts_equal_a_scan():
         assert geometry._windows(target, low) == geometry._scanned(target, [{"text": w} for w in low.split(" ")])
 
 
+def test_bbox_queries_move_texts_once(spark, tmp_path):
+    """Turns that share a key or have none, odd blanks and texts that repeat: as ``locate`` finds them in whole layouts, with one shuffle by key."""
+    import re
+
+    from quillgate.plans.programs import QUERIES
+
+    rng = random.Random(12)
+    turns = [(k if k % 7 else None, rng.randrange(2), "user", rng.choice(["", " ", "\n"]) + rng.choice([" ", "  ", "\t\n"]).join(rng.choice(["a", "b", "A", "ba", "\u0130", *(["c\u00a0d", "\u2003", "x" * 30] if k % 3 == 0 else [])]) for _ in range(rng.randrange(60)))) for k in range(60) for _ in range(2)]
+    turns += [(99, 0, "user", None), (99, 0, "user", "p q r s t p q r s t u v w x y z p"), (100, None, "user", "one two three four five six")]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    pages = [(c, None if t is None else t + 1, [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]) for c, t, _, text in turns if text is not None]
+    shape = lambda i: [float(v) for v in ((i % 10) * 60, i // 10 * 20, (i % 10) * 60 + 50, i // 10 * 20, (i % 10) * 60 + 50, i // 10 * 20 + 12, (i % 10) * 60, i // 10 * 20 + 12)]
+    for name, first, n in (("bbox_locate", 3, 3), ("bbox_lines", 9, 4)):
+        want = []
+        for doc, page, ws in pages:
+            texts = [" ".join(w[first - 1 : first - 1 + n]) for d, p, w in pages if (d, p) == (doc, page) and len(w) >= first + n - 1]
+            for text in texts:
+                boxes = geometry.locate(text, [{"text": w, "polygon": shape(i)} for i, w in enumerate(ws)], 600.0, 800.0)
+                want += [(doc, page, text, i + 1, *box) for i, box in enumerate(boxes)]
+        got = QUERIES[name](spark, str(tmp_path))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 60
+
+
+def test_windows_and_boxes_of_words_without_polygons(spark):
+    """A text of one word whose windows have no boxes is looked for word by word, as ``locate`` does."""
+    rng = random.Random(13)
+    shape = lambda i: rng.choice([None, [float(i)], [i * 60.0, 10.0, i * 60.0 + 50, 10.0, i * 60.0 + 50, 22.0, i * 60.0, 22.0]])
+    pages = [(k, [{"text": w, "polygon": shape(i)} for i, w in enumerate(rng.choice(["a", "b", "ab", "", "a b"] if k % 2 else ["a", "b", "ab"]) for _ in range(rng.randrange(9)))], rng.choice(["a", "b", "a b", "ab", " "])) for k in range(80)]
+    found = geometry.windows_within(spark.createDataFrame([(k, 1, [w["text"] for w in ws], [t]) for k, ws, t in pages], "doc_id bigint, page int, words array<string>, texts array<string>")).collect()
+    rows = [(r.doc_id, 1, r.text, None, None, [[pages[r.doc_id][1][i]["polygon"] for i in range(s.first, s.last + 1)] for s in r.spans], [pages[r.doc_id][1][i]["polygon"] for i in r.alone]) for r in found]
+    kind = "doc_id bigint, page int, text string, width double, height double, spans array<array<array<double>>>, alone array<array<double>>"
+    got = {(r.doc_id, r.n): tuple(r)[4:] for r in geometry.boxes_within(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(k, i + 1): box for k, ws, t in pages for i, box in enumerate(geometry.locate(t, ws))} and len(got) > 20
+
+
 def test_locate():
     assert geometry.locate("john smith", words("Mr", "John", "Smith", "left", "John", "Smith")) == [(60, 10, 110, 12), (240, 10, 110, 12)]
     assert geometry.locate("x" * 81, words("x" * 81)) == []
